@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import write_table
-from . import frequent, mixing, runs, tokens
+from . import frequent, mixing, residue, runs, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -67,6 +67,17 @@ def p9_shares(spark, sf):
     return _mix(spark, sf)[1]
 
 
+@query
+def p10_found(spark, sf):
+    return residue.residue(table(spark, sf, "documents"))
+
+
+@query
+def p10_kept(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.join(residue.residue(docs), "doc_id", "left_anti").select("doc_id", "source", "n_chars")
+
+
 TOP = """b AS (SELECT user_id, item_id, arg_max(estimate, iteration) + 0.0 AS estimate FROM convergence WHERE user_id IS NOT NULL AND item_id IS NOT NULL AND isfinite(estimate) GROUP BY ALL),
 t AS (SELECT user_id, item_id, estimate, row_number() OVER (PARTITION BY user_id ORDER BY estimate DESC, item_id)::INT AS rank FROM b QUALIFY rank <= 10)"""
 FREQUENT = "SELECT item_id, count(*) AS n_rows FROM pref_deltas WHERE item_id IS NOT NULL GROUP BY item_id HAVING count(*) * 200 >= (SELECT count(item_id) FROM pref_deltas)"
