@@ -90,7 +90,7 @@ FILLER = re.compile(
     re.I | re.X | re.M,
 )
 TODO = re.compile(r"^\W*(?:todo\W+(?:describe|paste|write|add|fill|insert)\b|tbd\W*$)", re.I | re.M)
-REPEATED = re.compile(r"^\W*((?:\w+\W+){0,3}?\w*(?:qwert|asdf|dummy|test|bla|foo|xxx|sample|lorem|text|placeholder|filler|yxcv|zxcv|abc)\w*(?:\W+\w+){0,2}?)(?:\W+\1){2,}\W*$", re.I)
+REPEATED = re.compile(r"^\W*((?:\w+\W+){0,3}?\w*(?:qwert|asdf|dummy|test|bla|foo|xxx|sample|lorem|text|placeholder|filler|yxcv|zxcv|abc)\w*(?:\W+\w+){0,2}?)(?:\W+\1)+\W*$", re.I)
 
 # --- slots -------------------------------------------------------------------------------------------------------------------------------------
 
@@ -158,7 +158,7 @@ def filler(prose: str) -> bool:
         flat = "".join(p.lower().split())
         if len(flat) >= 10 and sum(c in HOME_ROW for c in flat) >= 0.97 * len(flat) and len(set(flat)) >= 4:
             return True
-        if REPEATED.match(p):
+        if REPEATED.match(" ".join(p.split())):
             return True
     return False
 
@@ -175,8 +175,7 @@ def message(r: str) -> bool:
         return False
     parts = [s for s in re.split(r"(?<=[.!?…。！？])\s+|(?<=[。！？])|\n|\s[|·]\s", bare) if re.search(r"\w", s)]
     about = sum(len(s) for s in parts if any(p.search(s) for p in STRONG) or len(HINT.findall(s)) >= 2)
-    long = len(bare) > 60
-    return not long or about >= 0.4 * len(bare) or hits[0].start() < 5 and len(bare) < 300
+    return len(bare) <= 160 or about >= 0.4 * len(bare) or hits[0].start() < 5 and len(bare) < 300
 
 
 def asks(r: str) -> bool:
