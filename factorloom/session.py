@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,17 @@ def write_table(df: DataFrame, hint: str = "cut") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{hint}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once a session; they need no installed copy."""
+    sc = spark.sparkContext
+    if getattr(sc, "_factorloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="factorloom-code-")) / "factorloom.zip"  # read by the driver, which serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"factorloom/{f.relative_to(root)}")
+    sc.addPyFile(str(path))
+    sc._factorloom_shipped = True
