@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import write_table
-from . import frequent, mixing, residue, runs, tokens
+from . import frequent, hnsw, mixing, residue, runs, tokens, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -47,6 +47,20 @@ def p5_counts(spark, sf):
     return frequent.frequent(table(spark, sf, "pref_deltas"), "item_id", 0.005).select("item_id", "n_rows")
 
 
+def _near(spark, sf):
+    return hnsw.neighbours(vectors.current(table(spark, sf, "factors_y"), "item_id"), 5)
+
+
+@query
+def p6_found(spark, sf):
+    return hnsw.mutual(_near(spark, sf), 0.992).select("id_a", "id_b")
+
+
+@query
+def p6_neighbours(spark, sf):
+    return _near(spark, sf).select("id", F.posexplode("near").alias("pos", "x")).select("id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("other_id"), F.round("x.cosine", 6).alias("cosine"))
+
+
 @query
 def p8_ids(spark, sf):
     return tokens.token_ids(table(spark, sf, "documents"), "doc_id", "text")
