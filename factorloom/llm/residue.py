@@ -15,6 +15,8 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 #: A hint counts when so many records of so many hosts say the same.
 COPIES, HOSTS = 3, 2
 #: Characters of the rest of a text that can be a message as a whole.
@@ -101,6 +103,8 @@ SLOT = re.compile(
     |<\s*(?:insert\s)?[A-Za-z][A-Za-z_]*(?:\s[A-Za-z_]+){{0,2}}(?:\shere)?\s*>|\[\s*[A-Z][A-Z_ ]{{2,40}}\](?!\()|\[\s*(?:your|insert|enter|add|type)\s[^\[\]]{{1,40}}\](?!\()|\(\s*[a-z_ ]{{1,40}}\sgoes\shere\s*\)|\b[A-Za-z]\w*\.\w+\.label\b""",
     re.X | re.I,
 )
+#: What every slot has in some form; texts without it need no closer look.
+MARKS = re.compile(r"[{}$#*\[\]<%«@~]|__|&[lg#]|goes here|\.label", re.I)
 ELEMENTS = frozenset("a abbr article aside audio b blockquote body br button canvas caption center cite code col dd del details dfn div dl dt em embed fieldset figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol option p param pre q s samp script section select small source span strike strong style sub summary sup table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split())
 SLOT_WORDS = frozenset("date name user username first last product company author email mail topic title link url city country version order number code error site sitename address phone subject id text content firstname lastname".split())
 
@@ -124,6 +128,8 @@ def slots(prose: str) -> bool:
     """True if the prose has a slot or label key that was never filled."""
     t = re.sub(r"\s+", " ", prose.replace("\xa0", " ").replace("&nbsp;", " "))
     t = LINK.sub(" ", t)
+    if not MARKS.search(t):
+        return False
     t = html.unescape(t)
     t = re.sub(r'(?<![\w=])"[^"]{2,300}"(?!\w)', " ", t)
     for m in SLOT.finditer(t):
@@ -211,7 +217,7 @@ def residue(docs: DataFrame, copies: int = COPIES, hosts: int = HOSTS) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.string())], ["doc_id", "level", "said"])
 
     texts = docs.select("doc_id", "text").where("text is not null and trim(text) != ''")
-    seen = texts.mapInArrow(detect, "doc_id bigint, level int, said string").where("level > 0")
+    seen = write_table(texts.mapInArrow(detect, "doc_id bigint, level int, said string").where("level > 0"), "residue")
     hints = seen.where("level = 1").select("doc_id", "said")
     parts = docs.select("doc_id", "source", F.coalesce("question_id", "doc_id").alias("question"))
     known = hints.join(parts, "doc_id")
