@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import write_table
-from . import frequent, hnsw, mixing, residue, runs, tokens, vectors
+from . import frequent, grid, hnsw, mixing, residue, runs, tokens, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,6 +22,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _clusters(spark, sf):
+    sides = [vectors.current(table(spark, sf, f"factors_{side}"), key).select(F.lit(side).alias("side"), "id", "features") for side, key in (("x", "user_id"), ("y", "item_id"))]
+    return grid.cluster(sides[0].unionByName(sides[1]))
+
+
+@query
+def p1_found(spark, sf):
+    return _clusters(spark, sf)[0]
+
+
+@query
+def p1_clusters(spark, sf):
+    out = grid.describe(_clusters(spark, sf)[1])
+    return out.withColumn("typical", F.array_join(F.transform("typical", lambda i: i.cast("string")), ","))
+
+
 def _top(spark, sf):
     pairs = runs.latest_of_pair(table(spark, sf, "convergence"), "user_id", "item_id", "estimate", "iteration")
     return runs.top_per_group(pairs, "user_id", "estimate", "item_id", 10)
