@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import write_table
 from ..sources.store import Store
 
 #: Rows of a table of partitions up to which it is sent to all executors (some 64 bytes each).
@@ -98,12 +99,12 @@ def pending_writes(deltas: DataFrame, runs: DataFrame) -> DataFrame:
     """
     keys = ["instance_id", "generation_id"]
     rows = deltas.select("rec_id", "write_id", "revision", *keys, "landed_at")
-    cover = seen_until(rows.select(*keys).distinct(), runs)
+    cover = write_table(seen_until(rows.select(*keys).distinct(), runs), "cover")
     known = attach(rows, cover, keys)
     seen = F.col("landed_at") <= F.col("seen_until")
     prints = fingerprints(known, [*keys, "seen_until"], ["rec_id", "write_id", "revision"], seen)
     unchanged = (F.col("n_rows") == F.col("n_seen")) & F.col("row_sum").eqNullSafe(F.col("seen_sum"))
-    state = prints.select(*keys, "seen_until", (~unchanged).alias("changed"))
+    state = write_table(prints.select(*keys, "seen_until", (~unchanged).alias("changed")), "state")
     new = F.col("changed") & ~F.coalesce(seen, F.lit(False))
     writes = attach(rows, state, keys).groupBy("instance_id", "write_id").agg(
         F.max(F.when(~new, F.col("revision"))).alias("done"),
