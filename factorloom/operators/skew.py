@@ -31,7 +31,7 @@ class Plan:
 
     def shards(self, spark: SparkSession, key: str, kind: str) -> DataFrame:
         """(key, slots) of the split keys: at most tasks / SPLIT rows."""
-        return spark.createDataFrame(self.heavy or [], f"{key} {kind}, slots array<int>")
+        return spark.createDataFrame(self.heavy or [], f"{key} {kind}, __slots array<int>")
 
 
 def _slots(spark: SparkSession, tasks: int) -> list[int]:
@@ -70,26 +70,27 @@ def plan(loads: DataFrame, key: str, tasks: int) -> Plan:
 
 def _slot(p: Plan, key: str, spread: Column) -> Column:
     lights = F.get(F.array(*[F.lit(s) for s in p.slots]), F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(p.tasks)).cast("int"))
-    mine = F.get(F.col("slots"), F.pmod(spread, F.size("slots")).cast("int"))
+    mine = F.get(F.col("__slots"), F.pmod(spread, F.size("__slots")).cast("int"))
     return F.coalesce(mine, lights)
 
 
 def route(df: DataFrame, key: str, p: Plan, spread: Column) -> DataFrame:
     """``df`` with its ``slot``, in partitions of one task each. ``spread`` hashes a row to a shard of its key; rows with equal hash stay together."""
     heavy = F.broadcast(p.shards(df.sparkSession, key, df.schema[key].dataType.simpleString()))
-    return df.join(heavy, key, "left").withColumn("slot", _slot(p, key, spread)).drop("slots").repartition(p.tasks, "slot")
+    return df.join(heavy, key, "left").withColumn("__slot", _slot(p, key, spread)).drop("__slots").repartition(p.tasks, "__slot")
 
 
 def join(big: DataFrame, small: DataFrame, key: str, p: Plan) -> DataFrame:
     """Inner join of a skewed table with another one: rows of ``small`` go to every shard of their key and nowhere else. Null keys match nothing.
 
-    Columns of the two tables must differ but for the key."""
+    Columns of ``small`` that ``big`` has too come out with ``right_`` before their name."""
+    small = small.select(*[F.col(c).alias(c if c == key or c not in big.columns else f"right_{c}") for c in small.columns])
     kind = big.schema[key].dataType.simpleString()
     left = route(big.where(F.col(key).isNotNull()), key, p, F.xxhash64(*big.columns))
     heavy = F.broadcast(p.shards(big.sparkSession, key, kind))
     copies = small.where(F.col(key).isNotNull()).join(heavy, key, "left")
-    copies = copies.withColumn("slot", F.explode(F.when(F.col("slots").isNotNull(), F.array_distinct("slots")).otherwise(F.array(_slot(p, key, F.lit(0)))))).drop("slots")
-    return left.join(copies.repartition(p.tasks, "slot"), ["slot", key]).drop("slot")
+    copies = copies.withColumn("__slot", F.explode(F.when(F.col("__slots").isNotNull(), F.array_distinct("__slots")).otherwise(F.array(_slot(p, key, F.lit(0)))))).drop("__slots")
+    return left.join(copies.repartition(p.tasks, "__slot"), ["__slot", key]).drop("__slot")
 
 
 def tasks_of(spark: SparkSession) -> int:
@@ -124,7 +125,7 @@ def per_key(df: DataFrame, key: str, item: str, value: str, tasks: int | None =
     counted = loads.agg(F.sum("n").alias("n")).first().n or 0
     p = plan(loads, "k", tasks)
     routed = route(pairs, "k", p, F.xxhash64("i"))
-    distinct = routed.groupBy("slot", "k", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    parts = distinct.groupBy("slot", "k").agg(F.sum("n").alias("n"), F.count("i").alias("items"), F.sum("s").alias("s"))
+    distinct = routed.groupBy("__slot", "k", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    parts = distinct.groupBy("__slot", "k").agg(F.sum("n").alias("n"), F.count("i").alias("items"), F.sum("s").alias("s"))
     out = parts.groupBy("k").agg(F.sum("n").alias("n_rows"), F.sum("items").alias("n_items"), F.sum("s").alias("sum_value"))
     return out.withColumnRenamed("k", key), counted
