@@ -206,25 +206,27 @@ def _by_label(label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def touching(members: DataFrame, single: DataFrame, least: float) -> DataFrame | None:
-    """(a, b): links between dense components (members: label, features), and between them and single nodes (single: node, label, features), as far as
+    """(a, b): links between dense components (members: side, label, features), and between them and single nodes (single: side, node, label, features) of the same side, as far as
     they decide whether two components are one. None if there are too many dense components to hold their centres."""
     spark = members.sparkSession
     reach = float(np.sqrt(2 - 2 * least)) + ADD
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        kind: dict[int, str] = {}
         for b in batches:
             if b.num_rows:
                 u = _unit(matrix(b.column(1)))
                 for name, at in _by_label(b.column(0).to_numpy()):
                     total[name] = total.get(name, 0) + u[at].sum(axis=0)
+                    kind[name] = b.column(2)[int(at[0])].as_py()
         if total:
             names = list(total)
             v = np.stack([total[x] for x in names])
             r, c = np.indices(v.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[r.ravel()]), pa.array(c.ravel().astype(np.int32)), pa.array(v.ravel())], ["label", "pos", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[r.ravel()]), pa.array(c.ravel().astype(np.int32)), pa.array(v.ravel()), pa.array([kind[names[k]] for k in r.ravel()])], ["label", "pos", "v", "side"])
 
-    parts = write_table(members.select("label", "features").mapInArrow(sums, "label bigint, pos int, v double").groupBy("label", "pos").agg(F.sum("v").alias("v")), "centres")
+    parts = write_table(members.select("label", "features", "side").mapInArrow(sums, "label bigint, pos int, v double, side string").groupBy("label", "pos").agg(F.sum("v").alias("v"), F.first("side").alias("side")), "centres")
     if parts.select("label").distinct().limit(CENTRES + 1).count() > CENTRES:
         return None
     found = parts.orderBy("label", "pos").toArrow()
@@ -232,6 +234,7 @@ def touching(members: DataFrame, single: DataFrame, least: float) -> DataFrame |
         return spark.createDataFrame([], "a bigint, b bigint")
     names = np.unique(found.column("label").to_numpy())
     centres = _unit(found.column("v").to_numpy().reshape(len(names), -1))
+    sides = np.array(found.column("side").to_pylist()).reshape(len(names), -1)[:, 0]
     place = {int(x): i for i, x in enumerate(names)}
     # The widest angle of a member to its centre, and for pairs the outermost projections on the line between the centres.
     cos = np.clip(centres @ centres.T, -1, 1)
@@ -249,11 +252,11 @@ def touching(members: DataFrame, single: DataFrame, least: float) -> DataFrame |
     for r in members.select("label", "features").mapInArrow(widest, "label bigint, low double").groupBy("label").agg(F.min("low").alias("low")).collect():
         theta[place[r.label]] = np.arccos(np.clip(r.low, -1, 1))
     link = float(np.arccos(least)) + ADD
-    i, j = np.nonzero(np.triu(np.arccos(cos) <= theta[:, None] + theta[None] + link, 1))
+    i, j = np.nonzero(np.triu((np.arccos(cos) <= theta[:, None] + theta[None] + link) & (sides[:, None] == sides[None]), 1))
     edges = spark.createDataFrame([], "a bigint, b bigint")
     for at in range(0, len(i), ROUND):
         edges = edges.unionByName(_pairs(members, names, place, centres, i[at : at + ROUND], j[at : at + ROUND], reach, least))
-    edges = edges.unionByName(_singles(members, single, names, place, centres, theta, link, least))
+    edges = edges.unionByName(_singles(members, single, names, sides, centres, theta, link, least))
     return edges
 
 
@@ -310,7 +313,7 @@ def _pairs(members: DataFrame, names: np.ndarray, place: dict, centres: np.ndarr
     return write_table(block_links(left.select(*cols), right.select(*cols), ["pair", "p0", "p1"], least, True), "edges")
 
 
-def _singles(members: DataFrame, single: DataFrame, names: np.ndarray, place: dict, centres: np.ndarray, theta: np.ndarray, link: float, least: float) -> DataFrame:
+def _singles(members: DataFrame, single: DataFrame, names: np.ndarray, sides: np.ndarray, centres: np.ndarray, theta: np.ndarray, link: float, least: float) -> DataFrame:
     spark = members.sparkSession
 
     def cone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,11 +322,12 @@ def _singles(members: DataFrame, single: DataFrame, names: np.ndarray, place: di
                 u = _unit(matrix(b.column(2)))
                 ask = np.arccos(np.clip(u @ centres.T, -1, 1)) <= theta + link
                 ask &= names[None] != b.column(1).to_numpy()[:, None]
+                ask &= sides[None] == np.array(b.column(3).to_pylist())[:, None]
                 r, c = np.nonzero(ask)
                 if len(r):
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(names[c]), b.column(2).take(pa.array(r))], ["node", "label", "features"])
 
-    asks = write_table(single.select("node", "label", "features").mapInArrow(cone, "node bigint, label bigint, features array<float>"), "cone")
+    asks = write_table(single.select("node", "label", "features", "side").mapInArrow(cone, "node bigint, label bigint, features array<float>"), "cone")
     total = asks.count()
     out = spark.createDataFrame([], "a bigint, b bigint")
     rounds = -(-total // ROUND)
@@ -371,8 +375,8 @@ def cluster(vectors: DataFrame, least: float = 0.8, smallest: int = 5, axes: int
 
     labelled = nodes.join(labels, "node", "left").select("side", "node", "features", "dense", F.coalesce("label", "node").alias("label"))
     names = labelled.where("dense").select("node", "label")
-    members = rows.where("dense").select("node", "features").join(names, "node").select("label", "features")
-    single = labelled.where("not dense").select("node", "label", "features")
+    members = rows.where("dense").select("side", "node", "features").join(names, "node").select("side", "label", "features")
+    single = labelled.where("not dense").select("side", "node", "label", "features")
     more = touching(members, single, least)
     if more is None:
         return cluster(vectors, least, smallest, axes, dense * 4)
