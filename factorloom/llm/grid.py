@@ -29,6 +29,8 @@ from .runs import top_per_group
 
 #: Quantised axes; rows of a block in which nodes are chosen; links that make a node dense; rows of a node block; single nodes and pairs of centres of a round.
 AXES, BLOCK, DENSE, PIECE, ROUND = 4, 32_768, 16, 8192, 50_000
+#: Dense nodes up to which their labels are sent to all tasks (16 bytes each).
+SMALL_NODES = 500_000
 #: Dense components up to which their centres are held by every task; beyond, denser nodes are asked for.
 CENTRES = 4096
 ADD = 1e-5
@@ -351,14 +353,15 @@ def _singles(members: DataFrame, single: DataFrame, names: np.ndarray, sides: np
     return out
 
 
-def cluster(vectors: DataFrame, least: float = 0.8, smallest: int = 5, axes: int = AXES, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
+def cluster(vectors: DataFrame, least: float = 0.8, smallest: int = 5, axes: int = AXES, dense: int = DENSE, fit: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((side, id, root_id) of the members of all clusters, (side, id, cell, features, root_id) for reports).
 
     vectors: side (kinds that are clustered apart), id (unique in its side), features (usable ones of one length). Two ids are in one cluster if their
     cosine is at least ``least``, directly or by way of others; clusters of fewer than ``smallest`` ids are left out. root_id is the smallest id of the
-    cluster. Equal vectors are linked like others. An empty table gives an empty one.
+    cluster. Equal vectors are linked like others. An empty table gives an empty one. ``fit``: rows to find the axes from (features), if another table than
+    ``vectors`` is cheaper to read; axes decide about the work, not about the result.
     """
-    turned = axes_of(vectors, axes)
+    turned = axes_of(vectors if fit is None else fit, axes)
     rows = write_table(points(vectors, turned, least, dense), "points")
     nodes = rows.where("lead").select("side", "node", "cell", "features", "dense")
     cells = write_table(nodes.groupBy("side", "cell").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")), "cells")
@@ -374,12 +377,16 @@ def cluster(vectors: DataFrame, least: float = 0.8, smallest: int = 5, axes: int
     labels = components(edges)
 
     labelled = nodes.join(labels, "node", "left").select("side", "node", "features", "dense", F.coalesce("label", "node").alias("label"))
-    names = labelled.where("dense").select("node", "label")
-    members = rows.where("dense").select("side", "node", "features").join(names, "node").select("side", "label", "features")
+    names = write_table(labelled.where("dense").select("node", "label"), "dense")
+    members = rows.where("dense").select("side", "node", "features")
+    if names.limit(SMALL_NODES + 1).count() <= SMALL_NODES:  # every pass over the members joins them without a shuffle
+        members = members.join(F.broadcast(names), "node").select("side", "label", "features")
+    else:
+        members = write_table(members.join(names, "node").select("side", "label", "features"), "members")
     single = labelled.where("not dense").select("side", "node", "label", "features")
     more = touching(members, single, least)
     if more is None:
-        return cluster(vectors, least, smallest, axes, dense * 4)
+        return cluster(vectors, least, smallest, axes, dense * 4, fit)
     joined = single.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(names.select(F.col("node").alias("a"), F.col("label").alias("b"))).where("a != b")
     more = write_table(more, "touching")
     if not more.isEmpty():

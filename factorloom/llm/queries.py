@@ -23,8 +23,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _clusters(spark, sf):
-    sides = [vectors.current(table(spark, sf, f"factors_{side}"), key).select(F.lit(side).alias("side"), "id", "features") for side, key in (("x", "user_id"), ("y", "item_id"))]
-    return grid.cluster(sides[0].unionByName(sides[1]))
+    tables = [(side, table(spark, sf, f"factors_{side}"), key) for side, key in (("x", "user_id"), ("y", "item_id"))]
+    now = [vectors.current(t, key).select(F.lit(side).alias("side"), "id", "features") for side, t, key in tables]
+    fit = [vectors.usable_rows(t, key) for _, t, key in tables]
+    return grid.cluster(now[0].unionByName(now[1]), fit=fit[0].unionByName(fit[1]))
 
 
 @query

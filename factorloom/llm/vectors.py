@@ -10,6 +10,11 @@ from ..functions.vectors import usable
 LENGTH = 50
 
 
+def usable_rows(df: DataFrame, key: str, k: int = LENGTH) -> DataFrame:
+    """(id, features) of all rows with a usable vector, older ones too: for statistics that need no shuffle."""
+    return df.where(F.col(key).isNotNull() & usable(F.col("features"), k)).select(F.col(key).alias("id"), "features")
+
+
 def current(df: DataFrame, key: str, k: int = LENGTH) -> DataFrame:
     """(id, features): of each id the vector of its greatest generation, if that is usable: k finite elements, not all null or zero.
 
