@@ -21,14 +21,14 @@ from ..session import write_table
 from .runs import top_per_group
 
 #: Neighbours of a node on level 0 and above, breadth of the search while building and later, rows of a batch.
-M0, M, EF_BUILD, EF, BATCH = 24, 12, 48, 48, 1024
+M0, M, EF_BUILD, EF, BATCH = 32, 12, 48, 48, 1024
 #: Nodes that are expanded at a time.
 STEP = 4
-SHARD_ROWS = 32_768
+SHARD_ROWS = 16_384
 #: Rows to which the centroids are fitted. All rows are indexed.
 FIT_ROWS = 20_000
 #: Distance of unit vectors within which partners across a border are looked for (0.13: cosine 0.9915), and cells asked at least.
-REACH, CELLS = 0.13, 2
+REACH, CELLS = 0.13, 1
 
 
 @dataclass
