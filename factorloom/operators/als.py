@@ -103,10 +103,15 @@ def normal_equations(ratings: DataFrame, factors: DataFrame, settings: Settings)
 
 
 def convergence_sample(x: DataFrame, y: DataFrame, modulus: int) -> DataFrame:
-    """(row_id, col_id, estimate): inner products of the sampled items and users, those whose id is divisible by the modulus."""
+    """(row_id, col_id, estimate): inner products of the sampled items and users, those whose id is divisible by the modulus.
+
+    Users stay where they are spread, in blocks; the sampled items, 1 / modulus of them, are copied to the blocks."""
+    blocks = max(1, x.sparkSession.sparkContext.defaultParallelism)
     rows = y.where(F.col("id") % modulus == 0).select(F.col("id").alias("row_id"), F.col("features").alias("_y"))
     cols = x.where(F.col("id") % modulus == 0).select(F.col("id").alias("col_id"), F.col("features").alias("_x"))
-    return rows.crossJoin(cols).select("row_id", "col_id", dot(F.col("_y"), F.col("_x")).alias("estimate"))
+    left = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = cols.withColumn("_block", F.pmod(F.xxhash64("col_id"), F.lit(blocks)).cast("int"))
+    return left.join(right, "_block").select("row_id", "col_id", dot(F.col("_y"), F.col("_x")).alias("estimate"))
 
 
 def convergence_value(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -133,22 +138,24 @@ def stop(iteration: int, change: float, settings: Settings) -> bool:
     return iteration >= 2 and (not np.isfinite(change) or change < settings.convergence_threshold)
 
 
-def fit(prefs: DataFrame, settings: Settings, previous_y: DataFrame | None = None, keep=write_table, seed: int = 1) -> Model:
+def fit(prefs: DataFrame, settings: Settings, previous_y: DataFrame | None = None, keep=write_table, seed: int = 1, done: int = 0, drop=None) -> Model:
     """Alternates until the sampled estimates settle. Each half-step is written to the shared folder, so that plans stay short and a lost executor costs one half-step.
 
-    ``keep(df, name)`` writes a step; pass one that skips steps already done to resume a run."""
+    ``keep(df, name)`` writes a step and gives it back read; one that finds steps already written resumes a run, with ``done`` the last whole iteration of it.
+    ``drop(name)`` is told which steps of two iterations before are no longer needed."""
     by_user, by_item = (keep(ratings_by(prefs, a, b), f"r-{a}") for a, b in (("user_id", "item_id"), ("item_id", "user_id")))
-    y = keep(initial_y(prefs.select("item_id"), previous_y, settings.features, seed), "y-0")
+    as_float = lambda df: df.select("id", F.col("features").cast("array<float>").alias("features"))
+    y = keep(initial_y(prefs.select("item_id"), previous_y, settings.features, seed), "y-0") if not done else None
     changes: list[float] = []
     sample = None
-    n = 0
+    n = max(0, done - 2)  # the two last iterations are read again for their change
     while True:
         n += 1
-        x = keep(half_step(by_user, y, settings).select("id", F.col("features").cast("array<float>").alias("features")), f"x-{n}")
+        x = keep(as_float(half_step(by_user, y, settings)) if n > done else None, f"x-{n}")
         if not settings.iterate:
             break
-        y = keep(half_step(by_item, x, settings).select("id", F.col("features").cast("array<float>").alias("features")), f"y-{n}")
-        now = keep(convergence_sample(x, y, settings.convergence_modulus), f"s-{n}")
+        y = keep(as_float(half_step(by_item, x, settings)) if n > done else None, f"y-{n}")
+        now = keep(convergence_sample(x, y, settings.convergence_modulus) if n > done else None, f"s-{n}")
         change = 2.0 ** -(n + 1)
         if sample is not None:
             value = convergence_value(now, sample).first().value
@@ -156,7 +163,10 @@ def fit(prefs: DataFrame, settings: Settings, previous_y: DataFrame | None = Non
             change = change if empty else float("nan") if value is None else value
         sample = now
         changes.append(change)
-        if stop(n, change, settings):
+        if drop is not None and n > 2:
+            for side in "xys":
+                drop(f"{side}-{n - 2}")
+        if n >= done and stop(n, change, settings):
             break
     ok = all(full_rank(gramian(m, "features", settings.features)) for m in (x, y))
     return Model(x, y, n, changes, ok)

@@ -67,7 +67,7 @@ class Generation:
             tags[kind] = events.read_tag_ids(self.spark, self.path(name))
         known = rows.known_items(prefs)
         self.once(layout.KNOWN, lambda p: write_text(known.withColumn("line", F.array_join(F.transform("items", lambda i: i.cast("string")), ",")), p, "user_id", "line"))
-        model = als.fit(prefs, s, self.previous_y(), keep=lambda df, name: self.kept(f"{layout.ITERATIONS}/{name}", lambda: df))
+        model = self.fit(prefs)
         for name, m in ((layout.X, model.x), (layout.Y, model.y)):
             self.once(name, lambda p, m=m: write_text(factor_lines(m), p, "id", "line"))
         user_tags, item_tags = tags["item"], tags["user"]  # tags that stand for users come from item tags
@@ -88,6 +88,20 @@ class Generation:
         self.finish(model)
         return model
 
+    def fit(self, prefs: DataFrame) -> als.Model:
+        """Factors, going on after the last iteration whose steps are complete; those of two before are removed on the way."""
+        at = self.path(layout.ITERATIONS)
+        whole = lambda n: all(self.store.exists(f"{at}/{side}-{n}/{layout.SUCCESS}") for side in "xys")
+        done = max([n for n in range(1, self.settings.max_iterations + 1) if whole(n) and (n == 1 or whole(n - 1))], default=0)
+        return als.fit(
+            prefs,
+            self.settings,
+            self.previous_y(),
+            keep=lambda df, name: self.kept(f"{layout.ITERATIONS}/{name}", lambda: df),
+            done=done,
+            drop=lambda name: self.store.delete(f"{at}/{name}", recursive=True),
+        )
+
     def merge_model(self, model: als.Model, other: str) -> None:
         """mergedY from this instance's Y and the newest complete model of another one; its user tags replace ours."""
         there = Layout(self.at.root, other)

@@ -109,3 +109,19 @@ def test_store(spark, tmp_path):
     assert (tmp_path / "down").read_text() == "hi\n" and list(s.lines(f"{base}/d")) == ["hi"] and s.last_modified(base) > 0
     s.delete(base, recursive=True)
     assert not s.exists(base)
+
+
+def test_factors_are_resumed(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    prefs = spark.createDataFrame([(u, i, 1.0 + (u * i) % 3) for u in range(20) for i in range(15) if rng.random() < 0.5], "user_id bigint, item_id bigint, value double")
+    at = tmp_path / "q" / "0000000000" / "tmp" / "iterations"
+
+    def fit(most):
+        return g.Generation(spark, str(tmp_path), "q", 0, None, Settings(features=2, max_iterations=most, convergence_modulus=2, convergence_threshold=1e-9)).fit(prefs)
+
+    first = fit(3)
+    assert first.iterations == 3 and not (at / "x-1").exists() and (at / "x-2" / "_SUCCESS").exists()
+    stamp = (at / "x-3" / "_SUCCESS").stat().st_mtime_ns
+    again = fit(3)
+    assert again.iterations == 3 and again.changes[-1] == first.changes[-1] and (at / "x-3" / "_SUCCESS").stat().st_mtime_ns == stamp
+    assert fit(5).iterations == 5 and (at / "y-5" / "_SUCCESS").exists()
