@@ -41,7 +41,8 @@ def half_step(ratings: DataFrame, factors: DataFrame, settings: Settings, gram:
     rebuild, observed = settings.reconstruct_r, settings.loss_ignores_unspecified
     gram = np.zeros((k, k)) if observed else gramian(factors, "features", k) if gram is None else gram
     joined = ratings.join(factors.select(F.col("id").alias("col"), "features"), "col", "left")
-    vector = F.when(F.col("features").isNull(), F.raise_error(F.concat(F.lit("no factor for id "), F.col("col").cast("string"))).cast("array<double>")).otherwise(F.col("features").cast("array<double>"))
+    kind = factors.schema["features"].dataType.simpleString()
+    vector = F.when(F.col("features").isNull(), F.raise_error(F.concat(F.lit("no factor for id "), F.col("col").cast("string"))).cast(kind)).otherwise(F.col("features"))
     grouped = joined.groupBy("row", "n", "frag").agg(F.collect_list("value").alias("values"), F.flatten(F.collect_list(vector)).alias("flat"))
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +55,7 @@ def half_step(ratings: DataFrame, factors: DataFrame, settings: Settings, gram:
             vals, flats = b.column(3), b.column(4)
             for i in range(b.num_rows):
                 r = vals[i].values.to_numpy(zero_copy_only=False)
-                y = flats[i].values.to_numpy(zero_copy_only=False).reshape(len(r), k)
+                y = flats[i].values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(r), k)
                 if rebuild:
                     w[i] = y.T @ y if observed else 0.0
                     rhs[i] = r @ y
