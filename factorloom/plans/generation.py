@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,9 +139,28 @@ def latest_complete(store: Store, at: Layout, with_model: bool = False) -> int |
     return None
 
 
+@contextmanager
+def alone(store: Store, at: Layout, poll: float = 60, stale: float = 86_400) -> Iterator[None]:
+    """Holds the instance's lock: waits while another process runs it. A lock older than ``stale`` seconds is what a process that died has left."""
+    lock = f"{at.home}/{layout.SYS}/running"
+    while not store.claim(lock):
+        if time.time() > store.last_modified(lock) + stale:
+            store.delete(lock)
+        else:
+            time.sleep(poll)
+    try:
+        yield
+    finally:
+        store.delete(lock)
+
+
 def run_next(spark: SparkSession, root: str, instance: str, settings: Settings | None = None, wait: float = schedule.BARRIER, **outputs: bool) -> schedule.Choice:
-    """One turn of the batch layer: deletes old generations, opens the next, waits for uploads and runs the one that is due."""
-    settings = settings or Settings()
+    """One turn of the batch layer: deletes old generations, opens the next, waits for uploads and runs the one that is due. One process at a time runs an instance."""
+    with alone(Store(spark), Layout(root, instance)):
+        return _turn(spark, root, instance, settings or Settings(), wait, **outputs)
+
+
+def _turn(spark: SparkSession, root: str, instance: str, settings: Settings, wait: float, **outputs: bool) -> schedule.Choice:
     store, at = Store(spark), Layout(root, instance)
     there = generations(store, at)
     choice = schedule.choose(there, [g for g in there if store.exists(at.generation(g, layout.SUCCESS))], settings.generations_to_keep)

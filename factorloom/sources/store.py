@@ -48,6 +48,26 @@ class Store:
         fs, p = self._at(path)
         fs.create(p, True).close()
 
+    def write(self, path: str, data: bytes) -> None:
+        """A small file, in one go."""
+        fs, p = self._at(path)
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+
+    def claim(self, path: str) -> bool:
+        """Makes an empty file; False if it is there already. Of several callers one gets True."""
+        fs, p = self._at(path)
+        fs.mkdirs(p.getParent())
+        try:
+            return fs.createNewFile(p)
+        except Exception:
+            if fs.exists(p):
+                return False
+            raise
+
     def move(self, src: str, dst: str) -> None:
         fs, p = self._at(src)
         if not fs.rename(p, self._at(dst)[1]):

@@ -9,6 +9,7 @@ from factorloom.plans import model
 from factorloom.plans.schedule import overlap
 from factorloom.sources.layout import Layout
 from factorloom.sources.store import Store
+from factorloom.sources.writer import EventWriter
 
 
 def write(path, lines):
@@ -125,3 +126,33 @@ def test_factors_are_resumed(spark, tmp_path):
     again = fit(3)
     assert again.iterations == 3 and again.changes[-1] == first.changes[-1] and (at / "x-3" / "_SUCCESS").stat().st_mtime_ns == stamp
     assert fit(5).iterations == 5 and (at / "y-5" / "_SUCCESS").exists()
+
+
+def test_writer(spark, tmp_path):
+    w = None
+    with pytest.raises(ValueError):
+        w = EventWriter(spark, str(tmp_path), "w")
+    g.run_next(spark, str(tmp_path), "w", wait=0)
+    w = EventWriter(spark, str(tmp_path), "w", writes_between_upload=3)
+    assert w.roll() is None
+    w.append(1, 10, 2.5)
+    w.append("teen", 10)
+    w.remove(1, 10)  # the third: written
+    assert w.lines == []
+    for bad in (lambda: w.append("a", "b"), lambda: w.append('a"', 1), lambda: w.append(1, "x,y"), lambda: w.append(1, 1, float("nan"))):
+        with pytest.raises(ValueError):
+            bad()
+    w.append(2, 11)
+    (tmp_path / "w" / "0000000001" / "inbound").mkdir(parents=True)
+    w.check()
+    lines = [r.value for r in spark.read.text(str(tmp_path / "w" / "0000000000" / "inbound")).collect()]
+    assert sorted(lines) == ['"teen",10,1.0', "1,10,", "1,10,2.5", "2,11,1.0"] and w.generation == 1
+
+
+def test_one_process_at_a_time(spark, tmp_path):
+    store, at = Store(spark), Layout(str(tmp_path), "l")
+    with g.alone(store, at):
+        assert not store.claim(f"{at.home}/sys/running")
+        with g.alone(store, at, poll=0, stale=-1):  # a lock as old as this one is taken over
+            pass
+    assert store.claim(f"{at.home}/sys/running")
