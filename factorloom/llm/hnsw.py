@@ -211,7 +211,7 @@ def neighbours(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, reach:
     with an empty list if it is alone.
     """
     spark = vectors.sparkSession
-    rows = vectors.withColumn("node", F.xxhash64("features"))
+    rows = write_table(vectors.select("id", "features", F.xxhash64("features").alias("node")), "vectors")
     kinds = rows.groupBy("node").agg(F.any_value("features").alias("features"), F.min("id").alias("first"), F.count("*").alias("n"))
     kinds = write_table(kinds, "nodes")
     many = kinds.where("n > 1").select("node")
