@@ -42,9 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables written by this process.
+_written: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables written so far. Results that still have to be read from them must have been taken before."""
+    from .sources.store import Store
+
+    store = Store(spark)
+    while _written:
+        store.delete(_written.pop(), recursive=True)
+
+
 def write_table(df: DataFrame, hint: str = "cut") -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{hint}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
