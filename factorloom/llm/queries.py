@@ -112,8 +112,22 @@ def p10_kept(spark, sf):
 
 TOP = """b AS (SELECT user_id, item_id, arg_max(estimate, iteration) + 0.0 AS estimate FROM convergence WHERE user_id IS NOT NULL AND item_id IS NOT NULL AND isfinite(estimate) GROUP BY ALL),
 t AS (SELECT user_id, item_id, estimate, row_number() OVER (PARTITION BY user_id ORDER BY estimate DESC, item_id)::INT AS rank FROM b QUALIFY rank <= 10)"""
+CURRENT = """(SELECT side, id, f, sqrt(list_sum(list_transform(f, lambda v: v * v))) AS n FROM (SELECT side, id, features::DOUBLE[] AS f FROM ({0})
+ QUALIFY row_number() OVER (PARTITION BY side, id ORDER BY generation_id DESC) = 1)
+ WHERE len(f) = 50 AND len(list_filter(f, lambda v: v IS NOT NULL AND isfinite(v))) = 50 AND len(list_filter(f, lambda v: v <> 0)) > 0)"""
+X = "SELECT 'x' AS side, user_id AS id, features, generation_id FROM factors_x"
+Y = "SELECT 'y' AS side, item_id AS id, features, generation_id FROM factors_y"
+COSINE = "list_inner_product(a.f, b.f) / (a.n * b.n)"
+# Components by reaching out from the ids that are the smallest among their own partners; the smallest of a component is one of them.
+LINKED = f"""v AS MATERIALIZED {CURRENT.format(X + " UNION ALL " + Y)}, e AS MATERIALIZED (SELECT a.side, a.id AS a, b.id AS b FROM v a JOIN v b ON a.side = b.side WHERE {COSINE} >= 0.8),
+r AS (SELECT side, a AS root, a AS id FROM e GROUP BY side, a HAVING min(b) = a UNION SELECT r.side, r.root, e.b FROM r JOIN e ON e.side = r.side AND e.a = r.id),
+c AS (SELECT side, id, min(root) AS root_id FROM r GROUP BY side, id)"""
+CLOSE = f"""v AS MATERIALIZED {CURRENT.format(Y)}, s AS (SELECT a.id AS a, b.id AS b, {COSINE} AS cos FROM v a, v b WHERE a.id <> b.id),
+t AS (SELECT a, b, cos FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(cos, 12) DESC, b) <= 5)"""
 FREQUENT = "SELECT item_id, count(*) AS n_rows FROM pref_deltas WHERE item_id IS NOT NULL GROUP BY item_id HAVING count(*) * 200 >= (SELECT count(item_id) FROM pref_deltas)"
 ORACLES: dict[str, str] = {
+    "p1_found": f"WITH RECURSIVE {LINKED} SELECT side, root_id, id FROM c QUALIFY count(*) OVER (PARTITION BY side, root_id) >= 5",
+    "p6_found": f"WITH {CLOSE} SELECT t.a AS id_a, t.b AS id_b FROM t JOIN t u ON t.a = u.b AND t.b = u.a WHERE t.a < t.b AND t.cos >= 0.992",
     "p4_found": f"WITH {TOP} SELECT user_id, item_id FROM t",
     "p4_ranked": f"WITH {TOP} SELECT user_id, item_id, rank, round(estimate::DOUBLE, 4) AS estimate FROM t",
     "p5_found": f"SELECT item_id FROM ({FREQUENT})",
