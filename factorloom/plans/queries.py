@@ -363,6 +363,30 @@ def recommend_formatted(spark, sf):
     return lined(topn.recommend(_work(spark, sf), odd(spark, sf), 10, digits=6), "json")
 
 
+def _whole_work(spark, sf):
+    """Every even vector is a user; the users of the orders are folded onto as many vectors as the table has, and vectors without any know nothing."""
+    n = emb(spark, sf).agg(F.max("id")).first()[0] // 2 + 1
+    p = prefs(spark, sf).select((F.col("user_id") % n * 2).alias("user_id"), (F.col("item_id") % n * 2 + 1).alias("item_id"), "value")
+    x = even(spark, sf)
+    known = x.select(F.col("id").alias("user_id")).join(rows.known_items(p), "user_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<bigint>")))
+    return topn.recommend_work(x, known)
+
+
+@query
+def recommend_work_whole(spark, sf):
+    return _whole_work(spark, sf).select("id", F.round(norm(F.col("features")), 4).alias("norm"), F.array_join(F.transform("known", lambda i: i.cast("string")), ",").alias("known"))
+
+
+@query
+def recommend_topn_whole(spark, sf):
+    return ranked(topn.recommend(_whole_work(spark, sf), odd(spark, sf), 10, digits=6))
+
+
+@query
+def recommend_formatted_whole(spark, sf):
+    return lined(topn.recommend(_whole_work(spark, sf), odd(spark, sf), 10, digits=6), "json")
+
+
 @query
 def similar_topn(spark, sf):
     return ranked(topn.similar(emb(spark, sf), 10, digits=6))
@@ -399,6 +423,22 @@ def merged_y(spark, sf):
     return cells(chain.merged_y(chain.ytx(*_chain(spark, sf)), other), "features", "id")
 
 
+@query
+def ytx_partial_whole(spark, sf):
+    p = chain.ytx_partial(emb(spark, sf), emb(spark, sf))
+    return p.select("r", F.posexplode("features").alias("c", "v")).groupBy("r", "c").agg(F.count("*").alias("n"), r6(F.max("v")).alias("most"))
+
+
+@query
+def ytx_matrix_whole(spark, sf):
+    return chain.ytx(emb(spark, sf), emb(spark, sf)).select("r", F.posexplode("features").alias("c", "v")).select("r", "c", r6(F.col("v")).alias("v"))
+
+
+@query
+def merged_y_whole(spark, sf):
+    return cells(chain.merged_y(chain.ytx(emb(spark, sf), emb(spark, sf)), emb(spark, sf)), "features", "id")
+
+
 # --- loading -----------------------------------------------------------------------------------------------------------------------------------
 
 
