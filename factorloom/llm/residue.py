@@ -54,7 +54,7 @@ STRONG = [
     r"\bp[áa]gina (?:solicitada |que busca )?no (?:existe|encontrada|se encuentra)\b|\bp[áa]gina n[ãa]o (?:encontrada|existe)\b|\bseite (?:wurde |konnte )?nicht gefunden\b|\bpage (?:est )?introuvable\b|\bpage demandée\b.{0,40}\b(?:existe|trouv)|страница не найдена|ページは?見つかりません|ページが見つかりません|页面不存在|找不到(?:该)?页面|无法处理您的请求",
     r"\baccess (?:to .{1,200} )?(?:was|is|has been)? ?denied\b|\byou (?:do not|don.t) have permission to (?:access|view)\b|\bif you believe this is a mistake\b|\bzugriff verweigert\b|\bacc[eè]s (?:refusé|interdit)\b|\bacceso denegado\b|\bacesso negado\b|доступ (?:запрещ|закрыт)|アクセスが拒否|拒绝访问",
     r"\b(?:question|post|answer|page|content|entry|topic|thread|account)\b.{0,40}\b(?:was|has been|is) (?:removed|deleted|withdrawn|suspended|closed) by\b|\bis no longer available\b.{0,40}$|\bhas been (?:removed|deleted)\b.{0,60}$",
-    r"\bdown for (?:scheduled |planned )?maintenance\b|\bunder(?:going)? maintenance\b|\bbe back (?:shortly|soon)\b|\btemporarily (?:unavailable|down|out of service)\b|\bvor[üu]bergehend nicht (?:erreichbar|verf[üu]gbar)\b|\bune erreur est survenue\b|\bse ha producido un error\b|\bocorreu um erro\b|\bein fehler ist aufgetreten\b|произошла ошибка|временно недоступ|エラーが発生しました|メンテナンス中|(?:系统|网站)?维护中|暂时无法|\btemporairement indisponible\b|\bno disponible temporalmente\b|\btemporariamente indispon",
+    r"\bdown for (?:scheduled |planned )?maintenance\b|\bunder(?:going)? maintenance\b(?! mode)|\bbe back (?:shortly|soon)\b|\btemporarily (?:unavailable|down|out of service)\b|\bvor[üu]bergehend nicht (?:erreichbar|verf[üu]gbar)\b|\bune erreur est survenue\b|\bse ha producido un error\b|\bocorreu um erro\b|\bein fehler ist aufgetreten\b|произошла ошибка|временно недоступ|エラーが発生しました|メンテナンス中|(?:系统|网站)?维护中|暂时无法|\btemporairement indisponible\b|\bno disponible temporalmente\b|\btemporariamente indispon",
     r"\b(?:something|that) went wrong\b|\bour team has been (?:told|notified)\b|\bplease try again (?:later|in a few)\b|\btry again in a few minutes\b",
     r"\bsession (?:has |was )?(?:expired|timed out)\b|\bplease (?:sign|log) ?in (?:again )?to\b|\b(?:must|need to|have to) (?:be (?:signed|logged) in|sign in|log in)\b|\bsitzung ist abgelaufen\b|\bsession a expir|\bsesi[óo]n ha (?:caducado|expirado)|\bsess[ãa]o expirou|сессия (?:истекла|закончилась)|会话已过期|セッションの?(?:有効)?期限|请(?:先)?登录|ログインしてください|\bbitte melden sie sich\b|\bveuillez vous (?:re)?connecter\b",
     r"\bsent too many requests\b|\btoo many requests\b.{0,80}$|\bunusual traffic\b|\brate limit(?:ed| exceeded)\b.{0,60}\btry again\b",
@@ -67,6 +67,15 @@ STRONG = [
 STRONG = [re.compile(p, re.I | re.S) for p in STRONG]
 HINT = re.compile(r"\b(?:error|unavailable|expired|denied|blocked|verify|enabled?|disabled|supported|upgrade|retry|reload|loading|redirect(?:ing|ed)?|moved|removed|deleted|login|logged|sign(?:ed)? in|browser|page|site|request|server|maintenance|incident|cookies?|captcha|robot|human|later|javascript|access|permission|account|subscribe)\b", re.I)
 
+BREAK = re.compile(r"(?<=[.!?…。！？])\s+|(?<=[。！？])|\n|\s[|·]\s")
+#: What somebody writes about a message: first person and questions, but not a site's own buttons ("my account", "I am human") or questions to its reader.
+ASKS = re.compile(
+    r"\b(?:how (?:can|do|to)|why (?:does|do|is)|what (?:is|does)|i (?:get|see|have|need|want|tried|expected|am(?! (?:human|not a|over|an adult|at least)\b))|my\b(?! (?:accounts?|profile|orders?|cart|settings)\b)|we have)\b|^(?!.*\byou(?:r|rs)?\b).*\?\s*$",
+    re.I | re.S,
+)
+#: A character of such a sentence weighs as so many of a message.
+TALK_WEIGHT = 3
+
 # --- filler ------------------------------------------------------------------------------------------------------------------------------------
 
 # Words of the usual dummy Latin.
@@ -179,14 +188,24 @@ def message(r: str) -> bool:
     hits = [m for p in STRONG if (m := p.search(bare))]
     if not hits:
         return False
-    parts = [s for s in re.split(r"(?<=[.!?…。！？])\s+|(?<=[。！？])|\n|\s[|·]\s", bare) if re.search(r"\w", s)]
-    about = sum(len(s) for s in parts if any(p.search(s) for p in STRONG) or len(HINT.findall(s)) >= 2)
-    return len(bare) <= 160 or about >= 0.4 * len(bare) or hits[0].start() < 5 and len(bare) < 300
+    parts, at = [], 0
+    for s in BREAK.split(bare):
+        at = bare.index(s, at)
+        if re.search(r"\w", s):
+            parts.append((at, at + len(s), s, asks(s)))
+        at += len(s)
+    hits = [m for m in hits if not any(asked and a < m.end() and m.start() < z for a, z, _, asked in parts)]
+    if not hits:
+        return False
+    about = sum(len(s) for _, _, s, asked in parts if not asked and (any(p.search(s) for p in STRONG) or len(HINT.findall(s)) >= 2))
+    about = max(about, max(m.end() - m.start() for m in hits))
+    talk = sum(len(s) for _, _, s, asked in parts if asked)
+    return about >= TALK_WEIGHT * talk and (len(bare) <= 160 or about >= 0.4 * len(bare) or hits[0].start() < 5 and len(bare) < 300)
 
 
 def asks(r: str) -> bool:
-    """Somebody writes about such a thing."""
-    return bool(re.search(r"\b(?:how (?:can|do|to)|why (?:does|do|is)|what (?:is|does)|i (?:get|see|have|need|want|tried|expected|am)|my |we have|you could|means that|should return|falls back)\b|\?\s*$", r, re.I))
+    """Somebody writes about such a thing: in the first person, or with a question that isn't put to the reader."""
+    return bool(ASKS.search(r))
 
 
 def judge(text: str) -> tuple[int, str]:
@@ -197,7 +216,7 @@ def judge(text: str) -> tuple[int, str]:
     r = rest(prose)
     if slots(prose) or filler(prose):
         return 2, ""
-    if message(r) and not asks(QUOTED.sub(" ", r)):
+    if message(r):
         return 2, ""
     short = 0 < len(r) <= 200 and not asks(r) and not LINK.search(prose)
     hint = short and len(set(x.lower() for x in HINT.findall(r))) >= 2
