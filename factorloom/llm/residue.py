@@ -117,6 +117,11 @@ MARKS = re.compile(r"[{}$#*\[\]<%«@~]|__|&[lg#]|goes here|\.label", re.I)
 ELEMENTS = frozenset("a abbr article aside audio b blockquote body br button canvas caption center cite code col dd del details dfn div dl dt em embed fieldset figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol option p param pre q s samp script section select small source span strike strong style sub summary sup table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split())
 SLOT_WORDS = frozenset("date name user username first last product company author email mail topic title link url city country version order number code error site sitename address phone subject id text content firstname lastname".split())
 
+#: Words in brackets that are marks of a text or of a log, not names of something to fill in.
+MARKERS = frozenset("edit edited update updated solved closed duplicate note notes sic todo tbd wip fixme info warn warning error debug trace fatal fail failed pass passed done deleted removed snip grin sigh spoiler endoftext unk pad mask sep cls eos bos".split())
+#: What follows a name in brackets that is spoken of.
+SHOWN = re.compile(r"\s*(?:tags?|elements?|components?|nodes?|attributes?|placeholders?|blocks?|sections?|syntax|types?)\b", re.I)
+
 
 def said(text: str) -> str:
     """The prose of a text: no code, no lines quoted from elsewhere."""
@@ -142,17 +147,21 @@ def slots(prose: str) -> bool:
     t = html.unescape(t)
     t = re.sub(r'(?<![\w=])"[^"]{2,300}"(?!\w)', " ", t)
     for m in SLOT.finditer(t):
-        x = m.group()
+        x, before, after = m.group(), t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 20]
+        words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|_", " ", x.strip("<>[]{} $")).lower().split()
+        named = bool(set(words) & SLOT_WORDS)
         if x[0] == "<" and not x.startswith(("<%", "<<")):
-            words = x[1:-1].strip().lower().replace("_", " ").split()
-            if not words or (words[0] in ELEMENTS and not (words[0] in SLOT_WORDS and len(words) == 1 and f"</{words[0]}" not in t.lower())) or not (set(words) & SLOT_WORDS or words[0] in ("insert", "your", "enter")):
+            inserted = bool(words) and words[0] in ("insert", "your", "enter")
+            if not words or (words[0] in ELEMENTS and not (words[0] in SLOT_WORDS and len(words) == 1 and f"</{words[0]}" not in t.lower())):
+                continue
+            if not (named or inserted) and (len("".join(words)) < 3 or re.search(r"[\w<]$|\binclude\s*$", before) or f"</{x[1:-1].strip().lower()}" in t.lower() or SHOWN.match(after) or words[0] in MARKERS):
                 continue
         elif x[0] == "[" and not x.startswith("[[") and not re.match(r"\[\s*(?:your|insert|enter|add|type)\s", x, re.I):
-            words = set(re.findall(r"[a-z]+", x.lower()))
-            if not words & SLOT_WORDS:
+            if not named and (x != x.upper() or len("".join(words)) < 4 or set(words) & MARKERS or re.search(r"\w$", before) or re.match(r"\s*[\[(:]", after)):
+                continue
+        elif x[0] == "{" and x[1] not in "{%$" and not x[1].isdigit() and not named:
+            if len("".join(words)) < 3 or re.search(r"\\[A-Za-z]+\*?(?:\{[^{}]*\}|\[[^\[\]]*\])*$|[\^_}\w]$", before) or before.count("$") % 2 or SHOWN.match(after):
                 continue
-        elif x[0] == "{" and x[1] not in "{%$" and not x[1].isdigit() and not set(re.findall(r"[a-z]+", x.lower())) & SLOT_WORDS:
-            continue
         return True
     return False
 

@@ -22,3 +22,23 @@ def test_questions_of_a_site_are_no_veto(text):
 @pytest.mark.parametrize("text", WRITTEN)
 def test_posts_about_messages(text):
     assert r.judge(text)[0] < 2
+
+
+SLOTS = [
+    "We received your payment of {amount} today.", "Thanks for order {OrderNumber}, it is on the way.", "The call failed with {ErrorCode} again.", "Dear {recipient}, just sort it first.",
+    "Ask in the [DEPARTMENT] about it.", "It is at <street>, second floor.",
+]
+NO_SLOTS = [
+    r"We write \frac{alpha}{beta} and $x_{max}$ and \begin{align} here, also \mathbb{Real}.", "Use the <Button> component with List<String> and #include <vector> in it.", "[SOLVED] It works [EDIT] now, see [GNU][1].",
+    "The set {a} and the [sic] thing <grin> are fine.", "The element <project> is closed by </project> in the file.",
+]
+
+
+@pytest.mark.parametrize("text", SLOTS)
+def test_slots_of_any_name(text):
+    assert r.judge(text)[0] == 2
+
+
+@pytest.mark.parametrize("text", NO_SLOTS)
+def test_no_slots(text):
+    assert r.judge(text)[0] < 2
