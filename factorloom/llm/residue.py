@@ -112,6 +112,11 @@ SLOT = re.compile(
     |<\s*(?:insert\s)?[A-Za-z][A-Za-z_]*(?:\s[A-Za-z_]+){{0,2}}(?:\shere)?\s*>|\[\s*[A-Z][A-Z_ ]{{2,40}}\](?!\()|\[\s*(?:your|insert|enter|add|type)\s[^\[\]]{{1,40}}\](?!\()|\(\s*[a-z_ ]{{1,40}}\sgoes\shere\s*\)|\b[A-Za-z]\w*\.\w+\.label\b""",
     re.X | re.I,
 )
+#: Slots that may be in an address; single braces, percent signs and dollars have other meanings there.
+IN_ADDRESS = re.compile(r"\{\{\{?\s*[^{}\n]{1,60}?\s*\}\}\}?|[$#]\{\s*[^{}]{1,60}\}|\*\|\s*[^|*]{1,60}\|\*|\[\[\s*[^\[\]]{1,60}\]\]|<%[=-]?\s*[^%<>]{1,60}%>|\{%\s*[^%{}]{1,60}%\}|%[A-Z]+(?:_[A-Z]+)+%")
+OPENING = re.compile(rf"<a\b(?:{IN_ADDRESS.pattern}|[^>])*>", re.I)
+#: A link whose address may have spaces within slots.
+SLOT_LINK = re.compile(rf"!?\[([^\]\n]*)\]\((?:{IN_ADDRESS.pattern}|[^)\s])*\)|https?://(?:{IN_ADDRESS.pattern}|\S)+|<a\b(?:{IN_ADDRESS.pattern}|[^>])*>.*?</a>", re.S | re.I)
 #: What every slot has in some form; texts without it need no closer look.
 MARKS = re.compile(r"[{}$#*\[\]<%«@~]|__|&[lg#]|goes here|\.label", re.I)
 ELEMENTS = frozenset("a abbr article aside audio b blockquote body br button canvas caption center cite code col dd del details dfn div dl dt em embed fieldset figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol option p param pre q s samp script section select small source span strike strong style sub summary sup table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split())
@@ -138,10 +143,21 @@ def rest(prose: str) -> str:
     return re.sub(r"^(?:skip to main content|[☰≡] ?menu|log ?in sign up|[\w.-]+ – questions and answers)\s+|\s+(?:back to (?:top|all \w+)|help · contact · terms|home \| questions \| tags(?: \| users)?|© \d{4}.{0,40}|ray [0-9a-f]{6,})$", "", t, flags=re.I)
 
 
+def opened(m: re.Match) -> str:
+    """What a link shows, and of its address the parts that are a slot beyond doubt."""
+    x = m.group()
+    if x[:2].lower() == "<a":
+        head = OPENING.match(x).end()
+        shown, address = re.sub(r"</a>$", "", x[head:], flags=re.I), x[:head]
+    else:
+        shown, address = m.group(1) or "", x
+    return " ".join([" ", shown, *IN_ADDRESS.findall(address), " "])
+
+
 def slots(prose: str) -> bool:
     """True if the prose has a slot or label key that was never filled."""
     t = re.sub(r"\s+", " ", prose.replace("\xa0", " ").replace("&nbsp;", " "))
-    t = LINK.sub(" ", t)
+    t = SLOT_LINK.sub(opened, t)
     if not MARKS.search(t):
         return False
     t = html.unescape(t)

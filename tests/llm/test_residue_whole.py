@@ -42,3 +42,18 @@ def test_slots_of_any_name(text):
 @pytest.mark.parametrize("text", NO_SLOTS)
 def test_no_slots(text):
     assert r.judge(text)[0] < 2
+
+
+LINKED = [
+    "See [{{product}}](http://x.example) for it.", "Look at https://{{site_name}}/help for it.", 'Hello <a href="http://x.example/a">${first_name}</a>, thanks.', "See [this page](http://x.example/{{ page }}) for it.",
+    'Click <a href="https://{{host}}/x">here</a> now.', "Unsubscribe at http://x.example/u?m=%USER_EMAIL% now.",
+]
+
+
+@pytest.mark.parametrize("text", LINKED)
+def test_slots_in_links(text):
+    assert r.judge(text)[0] == 2
+
+
+def test_links_without_slots():
+    assert r.judge('See [this page](http://a.example/b?x=%20y%20) and <a href="http://a.example/%7Bid%7D">that</a>, at http://a.example/users/{id}/posts.')[0] == 0
