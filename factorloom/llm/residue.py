@@ -19,8 +19,8 @@ from ..session import write_table
 
 #: A hint counts when so many records of so many hosts say the same.
 COPIES, HOSTS = 3, 2
-#: Characters of the rest of a text that can be a message as a whole.
-MESSAGE_CHARS = 900
+#: Characters from which a rest counts as long: it must begin as a message or consist of them, and may share some words with a title by chance.
+LONG_CHARS, SHORT_CHARS = 900, 200
 
 # --- what is shown, not said -------------------------------------------------------------------------------------------------------------------
 
@@ -68,6 +68,17 @@ STRONG = [re.compile(p, re.I | re.S) for p in STRONG]
 HINT = re.compile(r"\b(?:error|unavailable|expired|denied|blocked|verify|enabled?|disabled|supported|upgrade|retry|reload|loading|redirect(?:ing|ed)?|moved|removed|deleted|login|logged|sign(?:ed)? in|browser|page|site|request|server|maintenance|incident|cookies?|captcha|robot|human|later|javascript|access|permission|account|subscribe)\b", re.I)
 
 BREAK = re.compile(r"(?<=[.!?…。！？])\s+|(?<=[。！？])|\n|\s[|·]\s")
+#: Frames of a stack trace, as error pages show them.
+TRACE = re.compile(r"\bat [\w.$<>/@]+\([^()]{0,120}\)|\bFile \"?[^\s\",]+\"?, line \d+(?:, in \S+)?|#\d+ \S+\(\d+\): \S+")
+HINT_ELSEWHERE = re.compile(
+    r"""\b(?:fehler|wartung\w*|erreichbar|verfügbar|gesperrt|anmelden|abgelaufen|zugriff|seite|website|später|techniker|störung
+    |erreur|maintenance|indisponible|accès|connexion|expirée?|plus\ tard|navigateur|serveur|réessayer
+    |errore?s?|mantenimiento|disponible|acceso|página|sesión|navegador|servidor|más\ tarde|servicio|sitio
+    |erros?|manutenção|indisponível|acesso|sessão|servidor|mais\ tarde|serviço|manutenzione|pagina|accesso|servizio|più\ tardi
+    |fout|onderhoud|beschikbaar|toegang|pagina|later|dienst|błąd|konserwacja|niedostępn\w+|dostęp|strona|serwis|później|hata|bakım\w*|erişim|sayfa|daha\ sonra
+    |ошибка|обслуживани\w+|недоступ\w+|доступ|страниц\w+|сервер\w*|позже|сайт\w*|войдите|технически\w+)\b|エラー|メンテナンス|アクセス|ページ|ログイン|サーバー|しばらく|サイト|ご利用|错误|維護|维护|访问|页面|登录|服务器|稍后|网站|오류|점검|접속|페이지|로그인|서버|나중에|사이트""",
+    re.I | re.X,
+)
 #: What somebody writes about a message: first person and questions, but not a site's own buttons ("my account", "I am human") or questions to its reader.
 ASKS = re.compile(
     r"\b(?:how (?:can|do|to)|why (?:does|do|is)|what (?:is|does)|i (?:get|see|have|need|want|tried|expected|am(?! (?:human|not a|over|an adult|at least)\b))|my\b(?! (?:accounts?|profile|orders?|cart|settings)\b)|we have)\b|^(?!.*\byou(?:r|rs)?\b).*\?\s*$",
@@ -205,11 +216,11 @@ def filler(prose: str) -> bool:
 
 def message(r: str) -> bool:
     """True if the rest of a text is a message of a site or a notice, and nothing else worth the name."""
-    if not r or len(r) > MESSAGE_CHARS:
+    if not r:
         return False
     if r.startswith("{") and STRONG[3].search(r):
         return True
-    bare = re.sub(r"\s+", " ", QUOTED.sub(" ", r)).strip()
+    bare = re.sub(r"\s+", " ", TRACE.sub(" ", QUOTED.sub(" ", r))).strip()
     hits = [m for p in STRONG if (m := p.search(bare))]
     if not hits:
         return False
@@ -222,6 +233,8 @@ def message(r: str) -> bool:
     hits = [m for m in hits if not any(asked and a < m.end() and m.start() < z for a, z, _, asked in parts)]
     if not hits:
         return False
+    if len(bare) > LONG_CHARS and hits[0].start() >= SHORT_CHARS:
+        return sum(len(s) for _, _, s, asked in parts if not asked and any(p.search(s) for p in STRONG)) >= 0.5 * len(bare)
     about = sum(len(s) for _, _, s, asked in parts if not asked and (any(p.search(s) for p in STRONG) or len(HINT.findall(s)) >= 2))
     about = max(about, max(m.end() - m.start() for m in hits))
     talk = sum(len(s) for _, _, s, asked in parts if asked)
@@ -243,9 +256,22 @@ def judge(text: str) -> tuple[int, str]:
         return 2, ""
     if message(r):
         return 2, ""
-    short = 0 < len(r) <= 200 and not asks(r) and not LINK.search(prose)
-    hint = short and len(set(x.lower() for x in HINT.findall(r))) >= 2
-    return int(hint), re.sub(r"[0-9a-f]{6,}|\d+", "#", r.lower()) if short else ""
+    hint = hints(r, bool(LINK.search(prose)))
+    return int(hint), re.sub(r"[0-9a-f]{6,}|\d+", "#", r.lower()) if hint else ""
+
+
+def hints(r: str, linked: bool) -> bool:
+    """True if most of a rest of any size is sentences with words of messages, in the languages known here, and nothing is asked or told in the first person.
+
+    A short text with a link says where something is; in a longer one a link is as likely part of a page."""
+    if linked and len(r) <= SHORT_CHARS or len(set(x.lower() for x in HINT.findall(r)) | set(x.lower() for x in HINT_ELSEWHERE.findall(r))) < 2:
+        return False
+    parts = [s for s in BREAK.split(TRACE.sub(" ", r)) if re.search(r"\w", s)]
+    if len(r) <= SHORT_CHARS:
+        return not asks(r)
+    talk = sum(len(s) for s in parts if asks(s))
+    about = sum(len(s) for s in parts if (HINT.search(s) or HINT_ELSEWHERE.search(s)) and not asks(s))
+    return about >= 0.5 * sum(map(len, parts)) and about >= TALK_WEIGHT * talk
 
 
 def residue(docs: DataFrame, copies: int = COPIES, hosts: int = HOSTS) -> DataFrame:
@@ -269,5 +295,7 @@ def residue(docs: DataFrame, copies: int = COPIES, hosts: int = HOSTS) -> DataFr
     titles = docs.where("title is not null").select(F.col("doc_id").alias("question"), F.lower("title").alias("_title"))
     words = lambda c: F.filter(F.split(F.regexp_replace(c, r"[^\p{L}]+", " "), " "), lambda w: F.length(w) > 3)
     suspect = known.join(same.select("said"), "said", "left_semi").join(titles, "question", "left")
-    apart = suspect.where(F.col("_title").isNull() | ~F.arrays_overlap(words(F.col("said")), words(F.col("_title"))))
+    shared, of = F.array_intersect(words(F.col("said")), words(F.col("_title"))), F.array_distinct(words(F.col("_title")))
+    chance = F.when(F.length("said") > SHORT_CHARS, F.size(of) / 2).otherwise(F.lit(0.0))  # a page has words that any title may have
+    apart = suspect.where(F.col("_title").isNull() | (F.size(shared) <= chance))
     return seen.where("level = 2").select("doc_id").unionByName(apart.select("doc_id"))

@@ -57,3 +57,28 @@ def test_slots_in_links(text):
 
 def test_links_without_slots():
     assert r.judge('See [this page](http://a.example/b?x=%20y%20) and <a href="http://a.example/%7Bid%7D">that</a>, at http://a.example/users/{id}/posts.')[0] == 0
+
+
+PAGES = [
+    "Die Anwendung steht im Moment leider nicht zur Verfügung. Unsere Techniker führen gerade eine geplante Wartung durch. Die Seite wird voraussichtlich um 14 Uhr wieder erreichbar sein. Wir danken für Ihre Geduld; der Zugriff auf alle Bereiche dieser Website folgt danach, bitte kommen Sie später wieder. Vielen Dank.",
+    "The application is resting at the moment. Our servers get new disks and the site is offline until the work is over. Every request is answered with this page until then. The incident team keeps the status page current. Access comes back step by step, login first. Please reload in an hour; nothing of your account is lost.",
+]
+TRACE = "HTTP Status 500 – Internal Server Error\n\nType Exception Report\nMessage Request processing failed\nDescription The server encountered an unexpected condition that prevented it from fulfilling the request.\n\n" + "\n".join(f"at com.acme.shop.Handler{i}.invoke(Handler{i}.java:{i + 10})" for i in range(60))
+BLOCK = "Access to this site was denied. " + "The request was blocked by the security service of this site. Your browser sent a request that looked automated. If you believe this is a mistake, contact the site owner and give the incident number shown on this page. " * 6
+
+
+@pytest.mark.parametrize("text", [TRACE, BLOCK])
+def test_long_messages(text):
+    assert len(text) > 900 and r.judge(text)[0] == 2
+
+
+def test_a_long_post_with_a_message_in_it():
+    assert r.judge("The loader reads each table once and keeps its rows by key. " * 20 + "Access was denied. " + "After that it sorts the keys and writes them. " * 20)[0] == 0
+
+
+def test_copies_of_long_and_foreign_pages(spark):
+    rows = [(10 * k + i, 100 + i, None, p, f"host{i}") for k, p in enumerate(PAGES) for i in range(5)]
+    rows += [(100 + i, None, "How can I sort this list of the old page?", "It doesn't sort.", "host0") for i in range(5)]
+    rows += [(200 + i, 100 + i, None, "Vielen Dank für die schnelle Antwort!", f"host{i}") for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id bigint, question_id bigint, title string, text string, source string")
+    assert sorted(x.doc_id for x in r.residue(d).collect()) == [*range(5), *range(10, 15)]
