@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import lists, matrix
 
-#: Vectors of a partition that take part in its seeding; the rest of the algorithm sees all rows.
-SEED_SAMPLE = 20_000
-
 
 def _plus_plus(v: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """Indices of k seeds, each drawn by its distance max(0, 1 - cos) to those before; at random if all distances are 0."""
@@ -30,7 +27,7 @@ def _plus_plus(v: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def seeds(factors: DataFrame, k: int, tags: DataFrame | None = None, seed: int = 1) -> DataFrame:
-    """(cluster, centroid): k-means++ in each partition, and again over the candidates. At most 4k + partitions candidates come to the driver. No rows for no vectors."""
+    """(cluster, centroid): k-means++ over all vectors of each partition, which a task holds in memory, and again over the candidates. At most 4k + partitions candidates come to the driver. No rows for no vectors."""
     rows = factors.where("features is not null").select("id", "features")
     if tags is not None:
         rows = rows.join(tags.select("id"), "id", "left_anti")
@@ -39,15 +36,10 @@ def seeds(factors: DataFrame, k: int, tags: DataFrame | None = None, seed: int =
     each = k if splits <= 4 else max(1, 4 * k // splits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng, kept, seen = np.random.default_rng(seed), None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            m = matrix(b.column(1))
-            kept = m if kept is None else np.concatenate([kept, m])
-            seen += len(m)
-            if len(kept) > SEED_SAMPLE:
-                kept = kept[rng.permutation(len(kept))[:SEED_SAMPLE]]
+        held = [matrix(b.column(1)) for b in batches if b.num_rows]
+        kept = np.concatenate(held) if held else None
+        held.clear()
+        rng = np.random.default_rng(seed)
         if kept is not None:
             chosen = kept[_plus_plus(kept, min(each, len(kept)), rng)]
             yield pa.RecordBatch.from_arrays([lists(chosen)], ["centroid"])
