@@ -234,7 +234,7 @@ def neighbours(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, reach:
             best = sim[np.arange(len(v)), own]
             with np.errstate(all="ignore"):
                 border = (best[:, None] - sim) / half[own]  # distance of a unit vector to the border of each cell, as |a - c|² = 2 - 2 a·c
-            ask = border <= reach
+            ask = ~(border > reach)  # of equal centroids both
             if cells > 1 and count > 1:
                 ask[np.arange(len(v))[:, None], np.argpartition(-sim, min(cells, count) - 1, axis=1)[:, :cells]] = True
             ask[np.arange(len(v)), own] = True
@@ -267,7 +267,7 @@ def neighbours(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, reach:
             cos = np.einsum("ijk,ik->ij", data[np.maximum(at, 0)], raw) / (size[np.maximum(at, 0)] * norm[:, None])
             near = []
             for i in range(len(at)):
-                found = [(-c, x) for c, j in zip(cos[i].tolist(), at[i].tolist()) if j >= 0 for x in ids[j]]
+                found = {(-c, x) for c, j in zip(cos[i].tolist(), at[i].tolist()) if j >= 0 for x in ids[j]}  # a small graph may give a node more than once
                 near.append([{"neg": c, "id": x} for c, x in sorted(found)[: k + 1]])
             kind = pa.list_(pa.struct([("neg", pa.float64()), ("id", pa.int64())]))
             return pa.RecordBatch.from_arrays([pa.array(node), pa.array(near, kind)], ["node", "near"])
@@ -298,7 +298,7 @@ def neighbours(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, reach:
                 if role[a] == 0:
                     state["shard"] = shard[a]
                     state["held"].append(part)
-                else:
+                elif shard[a] == state["shard"]:  # else a part of a cell that got no rows
                     yield results(part.column(2).to_numpy(), matrix(part.column(3)), None)
         if state["held"]:
             yield from open_shard()
