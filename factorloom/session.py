@@ -31,10 +31,12 @@ def session(name: str = "factorloom", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests) is one made."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, one is made if all executors run on this machine (tests); anywhere else it is an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="factorloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -43,24 +45,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Tables written by this process.
-_written: list[str] = []
+_written: set[str] = set()
 
 
-def forget(spark: SparkSession) -> None:
-    """Deletes the tables written so far. Results that still have to be read from them must have been taken before."""
+def work_path(spark: SparkSession, hint: str) -> str:
+    """A new path below the shared folder. It is deleted by ``forget``, or else with the end of the session's JVM."""
+    path = f"{shared_dir(spark)}/{hint}-{uuid.uuid4().hex}"
+    _written.add(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)  # what doesn't exist can't be marked
+    fs.deleteOnExit(p)
+    return path
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the given written tables, or all written so far. Results that still have to be read from them must have been taken before."""
     from .sources.store import Store
 
     store = Store(spark)
-    while _written:
-        store.delete(_written.pop(), recursive=True)
+    gone = {t._factorloom_path for t in tables} if tables else set(_written)
+    for path in gone:
+        store.delete(path, recursive=True)
+    _written.difference_update(gone)
+
+
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    df = spark.read.schema(schema).parquet(path)
+    df._factorloom_path = path
+    return df
 
 
 def write_table(df: DataFrame, hint: str = "cut") -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{hint}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = work_path(df.sparkSession, hint)
+    df.write.mode("overwrite").parquet(path)
+    return read_table(df.sparkSession, path, df.schema)
 
 
 def ship(spark: SparkSession) -> None:
