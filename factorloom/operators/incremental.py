@@ -129,9 +129,7 @@ def refresh(source: DataFrame, keys: list[str], transform: Callable[[DataFrame],
         files = changed.select(*keys, F.ceil(F.col("n_rows") / FILE_ROWS).alias("_files"))
         piece = F.pmod(F.xxhash64(*[c for c in made.columns if c not in keys]), F.col("_files"))
         spread = attach(made, files, keys).withColumn("_piece", piece).repartition(*keys, "_piece").drop("_files", "_piece")
-        stage = work_path(spark, "refresh")
-        spread.write.mode("overwrite").partitionBy(*keys).parquet(stage)
-        done = spark.read.schema(T.StructType([f for f in spread.schema if f.name not in keys] + [spread.schema[k] for k in keys])).parquet(stage)
+        done = write_table(spread.sortWithinPartitions(*keys), "refresh")
         done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(target)
         kept = done.select(*keys).distinct().withColumn("_kept", F.lit(True))
         on = F.lit(True)

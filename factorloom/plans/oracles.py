@@ -128,6 +128,10 @@ ORACLES = {
     "p3_found": f"WITH {LINES} SELECT line_id, reason FROM reasons WHERE reason IS NOT NULL",
     "p3_loaded": f"""WITH {LINES} SELECT line_id, CASE WHEN NOT ut THEN u::BIGINT END AS user_id, CASE WHEN ut THEN u[2:-2] END AS user_tag, CASE WHEN NOT it THEN i::BIGINT END AS item_id, CASE WHEN it THEN i[2:-2] END AS item_tag,
  round(CASE WHEN n = 2 THEN 1.0::DOUBLE WHEN v <> '' THEN v::DOUBLE END, 4) + 0.0 AS value, n > 2 AND v = '' AS is_delete FROM reasons WHERE reason IS NULL""",
+    "p3_records": """WITH q AS (SELECT file_name, line_id, coalesce(raw_line, '') AS t, coalesce(sum(length(raw_line) - length(replace(raw_line, '"', ''))) OVER (PARTITION BY file_name ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS open FROM inbound_lines),
+s AS (SELECT file_name, line_id, t, max(CASE WHEN NOT open THEN line_id END) OVER (PARTITION BY file_name ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head FROM q),
+r AS (SELECT file_name, head AS line_id, count(*) AS n_lines, string_agg(t, chr(10) ORDER BY line_id) AS record FROM s GROUP BY file_name, head)
+SELECT file_name, line_id, n_lines, CASE WHEN n_lines <= 10000 THEN md5(record) END AS record FROM r""",
     "p7_found": "SELECT user_id FROM pref_deltas WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) * 100 >= (SELECT count(user_id) FROM pref_deltas)",
     "p7_user_loads": "SELECT user_id, count(*) AS n_rows, count(DISTINCT item_id) AS n_items, round(sum(pref_value::DOUBLE), 3) AS sum_value FROM pref_deltas WHERE user_id IS NOT NULL GROUP BY user_id",
 }

@@ -488,6 +488,19 @@ def p3_loaded(spark, sf):
     return out.select("line_id", "user_id", "user_tag", "item_id", "item_tag", (F.round("value", 4) + F.lit(0.0)).alias("value"), "is_delete")
 
 
+@query
+def p3_records(spark, sf):
+    """Lines of a file as records whose quotes may span lines."""
+    return rejects.assemble(table(spark, sf, "inbound_lines"), "file_name", "line_id", "raw_line").select("file_name", "line_id", "n_lines", F.md5(F.col("raw_line").cast("binary")).alias("record"))
+
+
+@query
+def p3_record_errors(spark, sf):
+    """Records that the strict reader refuses, by its message."""
+    bad = rejects.read_records(table(spark, sf, "inbound_lines"), "file_name", "line_id", "raw_line")
+    return bad.where("error is not null").groupBy("error").agg(F.count("*").alias("n_records"), F.sum("n_lines").alias("n_lines"))
+
+
 @query
 def p7_found(spark, sf):
     out, total = skew.per_key(table(spark, sf, "pref_deltas"), "user_id", "item_id", "pref_value")
