@@ -2,7 +2,8 @@
 
 A half-step solves one side from the other: W = G + sum alpha*|r| y y' + lambda'*n*I and b = sum over r > 0 of (1 + alpha*|r|) y, x = W^-1 b, with
 G the Gramian of all vectors of the other side and lambda' = alpha*lambda. Rows of many entries are cut into fragments of bounded size whose
-normal equations are added, so no task ever holds all entries of one row.
+normal equations are added, so no task ever holds all entries of one row. Fragments are gathered in blocks, and each factor is sent once to each block
+that needs it: a half-step moves distinct (block, column) pairs, not one vector an entry.
 """
 
 from __future__ import annotations
@@ -12,79 +13,142 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Settings
 from ..functions.linalg import full_rank, gramian, lists, matrix
 from ..functions.vectors import dot
-from ..session import write_table
+from ..session import forget, write_table
 from .initial import initial_y
 
-#: Entries of a row that one fragment may hold.
-FRAGMENT = 4096
+#: Entries of a row that one fragment may hold, and of a block, which a task holds with the factors it needs.
+FRAGMENT, BLOCK = 4096, 262_144
+#: Numbers of the outer products that are added at a time.
+CHUNK = 1 << 22
+#: Rows of a table of long rows up to which it is sent to every executor (16 bytes each).
+SMALL_ROWS = 1_000_000
 
 
-def ratings_by(prefs: DataFrame, by: str, of: str, fragment: int = FRAGMENT) -> DataFrame:
-    """(row, col, value, n, frag): entries of one side's rows, with the length of the row and the fragment of the entry. Built once, used by every iteration."""
-    entries = prefs.select(F.col(by).alias("row"), F.col(of).alias("col"), F.col("value").cast("double").alias("value")).where("row is not null and col is not null and value is not null")
-    sizes = entries.groupBy("row").agg(F.count("*").cast("int").alias("n"))
-    pieces = F.ceil(F.col("n") / F.lit(fragment)).cast("int")
-    return entries.join(sizes, "row").withColumn("frag", F.pmod(F.xxhash64("col"), pieces).cast("int"))
-
+def ratings_by(prefs: DataFrame, by: str, of: str, fragment: int = FRAGMENT, block: int = BLOCK) -> DataFrame:
+    """(row, col, value, n, frag, block): entries of one side's rows; n and the fragment of the entry for rows of more than ``fragment`` entries, null and 0 for others.
 
-def half_step(ratings: DataFrame, factors: DataFrame, settings: Settings, gram: np.ndarray | None = None) -> DataFrame:
+    All entries of a fragment are in one block, blocks have about equally many. Built once, used by every iteration."""
+    entries = prefs.select(F.col(by).alias("row"), F.col(of).alias("col"), F.col("value").cast("double").alias("value")).where("row is not null and col is not null and value is not null")
+    sizes = entries.groupBy("row").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > fragment).alias("long")).first()
+    if total.long:
+        long = sizes.where(F.col("n") > fragment)
+        entries = entries.join(F.broadcast(long) if total.long <= SMALL_ROWS else long, "row", "left")
+    else:
+        entries = entries.withColumn("n", F.lit(None).cast("bigint"))
+    pieces = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(fragment)).cast("int")
+    blocks = max(prefs.sparkSession.sparkContext.defaultParallelism, -(-(total.n or 0) // block))
+    out = entries.withColumn("frag", F.pmod(F.xxhash64("col"), pieces).cast("int"))
+    return out.withColumn("block", F.pmod(F.xxhash64("row", "frag"), F.lit(blocks)).cast("int"))
+
+
+def needs_of(ratings: DataFrame) -> DataFrame:
+    """(block, col): the ids whose factors a block needs, each once."""
+    return ratings.select("block", "col").distinct()
+
+
+def _sums(y: np.ndarray, weight: np.ndarray, target: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of weight * y y', sum of target * y) over the entries of each row; ``start``: where rows begin. Short rows are added many at a time, long ones by a product each."""
+    k, ends = y.shape[1], np.append(start[1:], len(y))
+    w, rhs = np.zeros((len(start), k, k)), np.add.reduceat(y * target[:, None], start, axis=0)
+    size = ends - start
+    for i in np.flatnonzero(size >= 2 * k):
+        part = y[start[i] : ends[i]]
+        w[i] = (part * weight[start[i] : ends[i], None]).T @ part
+    short = np.flatnonzero(size < 2 * k)
+    step = max(1, CHUNK // (k * k * 2 * k))
+    for at in range(0, len(short), step):
+        some = short[at : at + step]
+        pick = np.concatenate([np.arange(start[i], ends[i]) for i in some])
+        part = y[pick]
+        products = (part * weight[pick, None])[:, :, None] * part[:, None, :]
+        w[some] = np.add.reduceat(products, np.concatenate([[0], np.cumsum(size[some])[:-1]]), axis=0)
+    return w, rhs
+
+
+def half_step(ratings: DataFrame, factors: DataFrame, settings: Settings, gram: np.ndarray | None = None, needs: DataFrame | None = None) -> DataFrame:
     """(id, features DOUBLE[]) of one side, from ``ratings_by`` and the other side's (id, features).
 
-    Ids without a factor on the other side make the result fail rather than be joined away."""
+    A factor travels once to each block that needs it (``needs``, found from the ratings if not given), not to every entry. Ids without a factor on the other
+    side make the result fail rather than be joined away."""
     k, alpha, lam = settings.features, settings.alpha, settings.effective_lambda
     rebuild, observed = settings.reconstruct_r, settings.loss_ignores_unspecified
     gram = np.zeros((k, k)) if observed else gramian(factors, "features", k) if gram is None else gram
-    joined = ratings.join(factors.select(F.col("id").alias("col"), "features"), "col", "left")
-    kind = factors.schema["features"].dataType.simpleString()
-    vector = F.when(F.col("features").isNull(), F.raise_error(F.concat(F.lit("no factor for id "), F.col("col").cast("string"))).cast(kind)).otherwise(F.col("features"))
-    grouped = joined.groupBy("row", "n", "frag").agg(F.collect_list("value").alias("values"), F.flatten(F.collect_list(vector)).alias("flat"))
-
-    def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        eye = np.eye(k)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows, ns = b.column(0), b.column(1).to_numpy()
-            w, rhs = np.empty((b.num_rows, k, k)), np.empty((b.num_rows, k))
-            vals, flats = b.column(3), b.column(4)
-            for i in range(b.num_rows):
-                r = vals[i].values.to_numpy(zero_copy_only=False)
-                y = flats[i].values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(r), k)
-                if rebuild:
-                    w[i] = y.T @ y if observed else 0.0
-                    rhs[i] = r @ y
-                else:
-                    weight = alpha * np.abs(r)
-                    w[i] = (y * (weight + 1.0 if observed else weight)[:, None]).T @ y
-                    rhs[i] = ((r > 0) * (1.0 + weight)) @ y
-            whole = ns <= FRAGMENT
-            solved = np.zeros((b.num_rows, k))
-            if whole.any():
-                solved[whole] = np.linalg.solve(w[whole] + gram + (lam * ns[whole])[:, None, None] * eye, rhs[whole][..., None])[..., 0]
-            part = [None if ok else np.concatenate([w[i].ravel(), rhs[i]]) for i, ok in enumerate(whole)]
-            yield pa.RecordBatch.from_arrays([rows, b.column(1), lists(solved), pa.array(part, pa.list_(pa.float64()))], ["id", "n", "features", "part"])
-
-    out = grouped.select("row", "n", "frag", "values", "flat").mapInArrow(equations, "id bigint, n int, features array<double>, part array<double>")
-    out = out.withColumn("pieces", F.col("part").isNotNull())
-    done = out.where("not pieces").select("id", "features")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        eye = np.eye(k)
-        for b in batches:
-            if b.num_rows:
-                sums, ns = matrix(b.column(2)), b.column(1).to_numpy()
-                w = sums[:, : k * k].reshape(-1, k, k) + gram + (lam * ns)[:, None, None] * eye
-                yield pa.RecordBatch.from_arrays([b.column(0), lists(np.linalg.solve(w, sums[:, k * k :][..., None])[..., 0])], ["id", "features"])
-
-    cut = out.where("pieces").select("id", "n", F.posexplode("part").alias("pos", "v")).groupBy("id", "n", "pos").agg(F.sum("v").alias("v"))
-    whole = cut.groupBy("id", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("sums"))
-    return done.unionByName(whole.select("id", "n", "sums").mapInArrow(add, "id bigint, features array<double>"))
+    wanted = needs_of(ratings) if needs is None else needs
+    sent = wanted.join(factors.select(F.col("id").alias("col"), F.col("features").cast("array<double>").alias("features")), "col").select("block", "col", "features")
+    names = ["id", "n", "features", "part"]
+    lists_of = pa.list_(pa.float64())
+
+    def equations(key: tuple, e: pa.Table, f: pa.Table) -> pa.Table:
+        if not e.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), lists_of, lists_of))})
+        ids = f.column("col").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        row, col, value, frag = (e.column(c).to_numpy() for c in ("row", "col", "value", "frag"))
+        at = np.searchsorted(ids, col)
+        found = (ids[np.minimum(at, len(ids) - 1)] == col) if len(ids) else np.zeros(len(col), bool)
+        if not found.all():
+            raise ValueError(f"no factor for id {col[~found][0]}")
+        by = np.lexsort((at, frag, row))
+        row, value, at = row[by], value[by], at[by]
+        start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        y = matrix(f.column("features"), k)[order][at]
+        if rebuild:
+            weight, target = np.full(len(value), 1.0 if observed else 0.0), value
+        else:
+            conf = alpha * np.abs(value)
+            weight, target = conf + 1.0 if observed else conf, (value > 0) * (1.0 + conf)
+        w, rhs = _sums(y, weight, target, start)
+        n = pa.compute.take(e.column("n").combine_chunks(), pa.array(by[start]))
+        whole = np.asarray(n.is_null())
+        size = np.diff(np.append(start, len(row)))
+        solved = np.zeros((len(start), k))
+        if whole.any():
+            solved[whole] = np.linalg.solve(w[whole] + gram + (lam * size[whole])[:, None, None] * np.eye(k), rhs[whole][..., None])[..., 0]
+        part = [None if ok else np.concatenate([w[i].ravel(), rhs[i]]) for i, ok in enumerate(whole)]
+        return pa.table([pa.array(row[start]), n, lists(solved), pa.array(part, lists_of)], names=names)
+
+    entries = ratings.select(*[F.col(c).alias(c) for c in ("block", "row", "col", "value", "n", "frag")])  # names of its own, as both stem from one table
+    out = entries.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(equations, T._parse_datatype_string("id bigint, n bigint, features array<double>, part array<double>"))
+    if ratings.where("n is not null").isEmpty():
+        return out.select("id", "features")
+    out = write_table(out, "half")  # read for whole rows and for parts of long ones
+
+    def add(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n, total = None, 0, None
+
+            def flush() -> pa.RecordBatch:
+                if not last:
+                    return pa.RecordBatch.from_arrays([pa.array([held]), pa.array([n]), pa.array([total], lists_of)], ["id", "n", "part"])
+                w = total[: k * k].reshape(k, k) + gram + lam * n * np.eye(k)
+                return pa.RecordBatch.from_arrays([pa.array([held]), pa.array([np.linalg.solve(w, total[k * k :])], lists_of)], ["id", "features"])
+
+            for b in batches:
+                for i, (row, size) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                    if total is not None and row != held:
+                        yield flush()
+                        total = None
+                    v = b.column(2)[i].values.to_numpy()
+                    held, n, total = row, size, v.copy() if total is None else total + v
+            if total is not None:
+                yield flush()
+
+        return run
+
+    parts = out.where("part is not null").select("id", "n", "part")  # one for each block that has some of a long row
+    once = parts.repartition("id", F.spark_partition_id() % 16).sortWithinPartitions("id").mapInArrow(add(False), "id bigint, n bigint, part array<double>")
+    whole = once.repartition("id").sortWithinPartitions("id").mapInArrow(add(True), "id bigint, features array<double>")
+    return out.where("part is null").select("id", "features").unionByName(whole)
 
 
 def normal_equations(ratings: DataFrame, factors: DataFrame, settings: Settings) -> DataFrame:
@@ -92,7 +156,8 @@ def normal_equations(ratings: DataFrame, factors: DataFrame, settings: Settings)
     k, alpha, lam = settings.features, settings.alpha, settings.effective_lambda
     gram = np.zeros((k, k)) if settings.loss_ignores_unspecified else gramian(factors, "features", k)
     y = factors.select(F.col("id").alias("col"), F.col("features").cast("array<double>").alias("y"))
-    e = ratings.join(y, "col").withColumn("conf", F.lit(alpha) * F.abs("value"))
+    sizes = ratings.groupBy("row").agg(F.count("*").alias("n"))
+    e = ratings.drop("n").join(sizes, "row").join(y, "col").withColumn("conf", F.lit(alpha) * F.abs("value"))
     weight = F.lit(0.0) if settings.reconstruct_r else F.col("conf")
     weight = weight + F.lit(1.0) if settings.loss_ignores_unspecified else weight
     target = F.col("value") if settings.reconstruct_r else F.when(F.col("value") > 0, 1.0 + F.col("conf")).otherwise(0.0)
@@ -133,8 +198,8 @@ class Model:
 
 
 def stop(iteration: int, change: float, settings: Settings) -> bool:
-    """Never before iteration 2; at the maximum; when the change isn't finite or below the threshold."""
-    if iteration >= settings.max_iterations:
+    """Not before iteration 2, unless that is beyond the maximum; at the maximum (0 or less: there is none); when the change isn't finite or below the threshold."""
+    if 0 < settings.max_iterations <= iteration:
         return True
     return iteration >= 2 and (not np.isfinite(change) or change < settings.convergence_threshold)
 
@@ -144,7 +209,12 @@ def fit(prefs: DataFrame, settings: Settings, previous_y: DataFrame | None = Non
 
     ``keep(df, name)`` writes a step and gives it back read; one that finds steps already written resumes a run, with ``done`` the last whole iteration of it.
     ``drop(name)`` is told which steps of two iterations before are no longer needed."""
+    mine: dict[str, DataFrame] = {}
+    if keep is write_table and drop is None:
+        keep = lambda df, name: mine.setdefault(name, write_table(df, name))
+        drop = lambda name: forget(prefs.sparkSession, mine.pop(name)) if name in mine else None
     by_user, by_item = (keep(ratings_by(prefs, a, b), f"r-{a}") for a, b in (("user_id", "item_id"), ("item_id", "user_id")))
+    users_need, items_need = (keep(needs_of(r), f"needs-{a}") for r, a in ((by_user, "user_id"), (by_item, "item_id")))
     as_float = lambda df: df.select("id", F.col("features").cast("array<float>").alias("features"))
     y = keep(initial_y(prefs.select("item_id"), previous_y, settings.features, seed), "y-0") if not done else None
     changes: list[float] = []
@@ -152,13 +222,15 @@ def fit(prefs: DataFrame, settings: Settings, previous_y: DataFrame | None = Non
     n = max(0, done - 2)  # the two last iterations are read again for their change
     while True:
         n += 1
-        x = keep(as_float(half_step(by_user, y, settings)) if n > done else None, f"x-{n}")
+        x = keep(as_float(half_step(by_user, y, settings, needs=users_need)) if n > done else None, f"x-{n}")
         if not settings.iterate:
             break
-        y = keep(as_float(half_step(by_item, x, settings)) if n > done else None, f"y-{n}")
+        y = keep(as_float(half_step(by_item, x, settings, needs=items_need)) if n > done else None, f"y-{n}")
         now = keep(convergence_sample(x, y, settings.convergence_modulus) if n > done else None, f"s-{n}")
         change = 2.0 ** -(n + 1)
         if sample is not None:
+            if now.count() != sample.count():
+                raise ValueError(f"the samples of iterations {n - 1} and {n} differ in size")
             value = convergence_value(now, sample).first().value
             empty = value is None and now.isEmpty()
             change = change if empty else float("nan") if value is None else value

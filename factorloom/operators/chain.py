@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.linalg import matrix
 from ..functions.vectors import dot
 
 
@@ -15,8 +20,20 @@ def ytx_partial(y: DataFrame, other_x: DataFrame) -> DataFrame:
 
 
 def ytx(y: DataFrame, other_x: DataFrame) -> DataFrame:
-    """(r, features): the rows of Y'X, k² sums."""
-    cells = ytx_partial(y, other_x).select("r", F.posexplode("features").alias("c", "v")).groupBy("r", "c").agg(F.sum("v").alias("v"))
+    """(r, features): the rows of Y'X. Each task adds up y x' of its ids, so k² sums a task are shuffled, not k² an id."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                m = matrix(b.column(0)).T @ matrix(b.column(1))
+                total = m if total is None else total + m
+        if total is not None:
+            r, c = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(r.ravel().astype(np.int32)), pa.array(c.ravel().astype(np.int32)), pa.array(total.ravel())], ["r", "c", "v"])
+
+    both = y.select("id", F.col("features").alias("_y")).join(other_x.select("id", F.col("features").alias("_x")), "id").where("_x is not null and _y is not null").select("_y", "_x")
+    cells = both.mapInArrow(partial, "r int, c int, v double").groupBy("r", "c").agg(F.sum("v").alias("v"))
     return cells.groupBy("r").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "v"))), lambda x: x["v"]).alias("features"))
 
 

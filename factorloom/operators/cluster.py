@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,36 +53,59 @@ def seeds(factors: DataFrame, k: int, tags: DataFrame | None = None, seed: int =
     return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(chosen)], "cluster int, centroid array<double>")
 
 
-def assign(factors: DataFrame, centroids: DataFrame, tags: DataFrame | None = None, digits: int | None = None) -> DataFrame:
-    """(id, cluster) of highest cosine, ties to the smaller cluster; vectors without a finite cosine are left out. Centroids are k rows, k being a setting."""
+def _nearest(factors: DataFrame, centroids: DataFrame, tags: DataFrame | None, digits: int | None, emit: Callable, schema: str) -> DataFrame:
+    """``emit(batches of (ids, vectors, names of the nearest clusters))`` over all rows with a finite cosine."""
     rows = factors.where("features is not null").select("id", "features")
     if tags is not None:
         rows = rows.join(tags.select("id"), "id", "left_anti")
     local = centroids.select("cluster", F.col("centroid").cast("array<double>").alias("centroid")).orderBy("cluster").toArrow()
     if not local.num_rows:
-        return rows.sparkSession.createDataFrame([], "id bigint, cluster int")
-    shared = rows.sparkSession.sparkContext.broadcast((local.column(0).to_numpy(), matrix(local.column(1))))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, c = shared.value
-        with np.errstate(all="ignore"):
-            c = c / np.linalg.norm(c, axis=1, keepdims=True)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                v = matrix(b.column(1))
+        return rows.sparkSession.createDataFrame([], schema)
+    names, c = local.column(0).to_numpy().astype(np.int32), matrix(local.column(1))  # k rows, k being a setting
+    with np.errstate(all="ignore"):
+        c = c / np.linalg.norm(c, axis=1, keepdims=True)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = matrix(b.column(1))
+            with np.errstate(all="ignore"):
                 cos = v @ c.T / np.linalg.norm(v, axis=1, keepdims=True)
                 cos = np.where(np.isfinite(cos), cos if digits is None else np.round(cos, digits), -np.inf)
-                best, ok = cos.argmax(axis=1), np.isfinite(cos).any(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array(names[best[ok]].astype(np.int32))], ["id", "cluster"])
+            ok = np.isfinite(cos).any(axis=1)
+            yield b.column(0).filter(pa.array(ok)), v[ok], names[cos.argmax(axis=1)[ok]]
+
+    return rows.mapInArrow(lambda batches: emit(nearest(batches)), schema)
+
+
+def assign(factors: DataFrame, centroids: DataFrame, tags: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """(id, cluster) of highest cosine, ties to the smaller cluster; vectors without a finite cosine are left out. Centroids are k rows, k being a setting."""
+
+    def emit(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for ids, _, best in found:
+            yield pa.RecordBatch.from_arrays([ids, pa.array(best)], ["id", "cluster"])
+
+    return _nearest(factors, centroids, tags, digits, emit, "id bigint, cluster int")
+
+
+def adjust(factors: DataFrame, centroids: DataFrame, tags: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """(cluster, weight, centroid): number and sum of the vectors that are nearest to each centroid. Clusters without members vanish.
 
-    return rows.mapInArrow(nearest, "id bigint, cluster int")
+    Vectors are added where they are assigned; a task gives one row a cluster and element."""
 
+    def emit(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for _, v, best in found:
+            for name in np.unique(best).tolist():
+                mine = v[best == name]
+                sums[name] = sums.get(name, 0) + np.append(mine.sum(axis=0), len(mine))
+        for name, total in sums.items():
+            k = len(total) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, name, np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(total[:k]), pa.array(np.full(k, int(total[k])))], ["cluster", "pos", "v", "n"])
 
-def adjust(factors: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(cluster, weight, centroid): sum of the members' vectors and their number. Clusters without members vanish."""
-    parts = assigned.join(factors.select("id", "features"), "id").select("cluster", F.posexplode("features").alias("pos", "v"))
-    sums = parts.groupBy("cluster", "pos").agg(F.sum(F.col("v").cast("double")).alias("v"), F.count("*").alias("n"))
+    parts = _nearest(factors, centroids, tags, digits, emit, "cluster int, pos int, v double, n bigint")
+    sums = parts.groupBy("cluster", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     whole = F.sort_array(F.collect_list(F.struct("pos", "v")))
     return sums.groupBy("cluster").agg(F.max("n").alias("weight"), F.transform(whole, lambda x: x["v"]).alias("centroid"))
 
@@ -91,5 +114,5 @@ def kmeans(factors: DataFrame, k: int, iterations: int, keep, tags: DataFrame |
     """(clusters, centroids) after the given number of assign-and-adjust rounds; nothing happens in the first iteration of a run, seeds are drawn in the second."""
     centroids = keep(seeds(factors, k, tags, seed), "c-0")
     for n in range(1, iterations + 1):
-        centroids = keep(adjust(factors, assign(factors, centroids, tags)).select("cluster", "centroid"), f"c-{n}")
+        centroids = keep(adjust(factors, centroids, tags).select("cluster", "centroid"), f"c-{n}")
     return assign(factors, centroids, tags), centroids

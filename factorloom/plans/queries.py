@@ -226,7 +226,7 @@ K2 = dict(features=2, alpha=1.0, lam=0.1)
 
 
 def _k2(spark, sf):
-    p = prefs(spark, sf).withColumn("value", F.when((F.col("user_id") + F.col("item_id")) % 5 == 0, -F.col("value")).otherwise(F.col("value")) / F.lit(10.0))
+    p = write_table(prefs(spark, sf), "prefs").withColumn("value", F.when((F.col("user_id") + F.col("item_id")) % 5 == 0, -F.col("value")).otherwise(F.col("value")) / F.lit(10.0))
     return als.ratings_by(p, "user_id", "item_id"), k2_factors(p, "item_id")
 
 
@@ -311,8 +311,7 @@ def cluster_assign(spark, sf):
 
 @query
 def cluster_adjust(spark, sf):
-    e = emb(spark, sf)
-    out = cluster.adjust(e, cluster.assign(e, label_centroids(spark, sf), digits=9))
+    out = cluster.adjust(emb(spark, sf), label_centroids(spark, sf), digits=9)
     return cells(out.withColumn("weight", F.col("weight").cast("bigint")), "centroid", "cluster", "weight")
 
 
