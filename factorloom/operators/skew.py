@@ -1,8 +1,8 @@
 """Per-key results and joins when a few keys hold most rows: fragment and replicate by load.
 
 The load of every key is counted; keys above a fraction of what a task should get (a bounded number of them) are cut into shards in proportion to their
-load, and shards and the rest are packed onto tasks, each next to the least loaded one. Rows travel to the task of their shard, the matching side of a
-join only to the shards of its key.
+load; the other keys fall into buckets, some for each task, whose loads are summed. Shards and buckets are packed onto tasks, largest first, each next to
+the least loaded one. Rows travel to the task of their shard or bucket, the matching side of a join only to the shards of its key.
 """
 
 from __future__ import annotations
@@ -20,14 +20,17 @@ from ..session import write_table
 
 #: A key is split when its load exceeds this part of a task's fair share; so at most tasks / SPLIT keys are split.
 SPLIT = 0.25
+#: Buckets of light keys for each task.
+BUCKETS = 16
 
 
 @dataclass
 class Plan:
     tasks: int
-    slots: list[int]  # a slot number of each task: its hash leads there
+    slots: list[int]  # slot number of each bucket of light keys: its hash leads to a task
     heavy: list[tuple]  # (key, slot numbers of its shards)
     total: int
+    loads: list[float]  # planned load of each task
 
     def shards(self, spark: SparkSession, key: str, kind: str) -> DataFrame:
         """(key, slots) of the split keys: at most tasks / SPLIT rows."""
@@ -46,30 +49,36 @@ def _slots(spark: SparkSession, tasks: int) -> list[int]:
     return [found[t] for t in range(tasks)]
 
 
+def _bucket(key: str, tasks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(BUCKETS * tasks)).cast("int")
+
+
 def plan(loads: DataFrame, key: str, tasks: int) -> Plan:
-    """loads: (key, load) of every key, without null keys. Only the split keys and the total come to the driver."""
+    """loads: (key, load) of every key, without null keys. Only the split keys and the loads of the buckets come to the driver."""
     spark = loads.sparkSession
     total = loads.agg(F.sum("load").alias("t")).first().t or 0
     share = max(1.0, total / tasks)
     heavy = loads.where(F.col("load") > share * SPLIT).select(key, "load").collect()
-    slots = _slots(spark, tasks)
-    light = (total - sum(r.load for r in heavy)) / tasks
-    queue = [(light, t) for t in range(tasks)]
-    packed = []
-    for r in sorted(heavy, key=lambda r: (-r.load, r[key])):
+    light = loads.where(F.col("load") <= share * SPLIT).groupBy(_bucket(key, tasks).alias("b")).agg(F.sum("load").alias("load")).collect()
+    pieces = [(r.load, 1, str(r.b), ("bucket", r.b)) for r in light]
+    for r in heavy:
         n = min(tasks, max(1, round(r.load / (share * SPLIT))))
-        took = []
-        for _ in range(n):
-            load, t = heapq.heappop(queue)
-            took.append((load + r.load / n, t))
-        for x in took:
-            heapq.heappush(queue, x)
-        packed.append((r[key], [slots[t] for _, t in took]))
-    return Plan(tasks, slots, packed, total)
+        pieces.append((r.load / n, n, repr(r[key]), ("key", r[key])))
+    slots, queue = _slots(spark, tasks), [(0.0, t) for t in range(tasks)]
+    of_bucket, packed = [slots[b % tasks] for b in range(BUCKETS * tasks)], []
+    for load, n, _, (what, name) in sorted(pieces, key=lambda p: (-p[0], p[2])):
+        took = [heapq.heappop(queue) for _ in range(n)]  # shards of a key go to different tasks
+        for x, t in took:
+            heapq.heappush(queue, (x + load, t))
+        if what == "bucket":
+            of_bucket[name] = slots[took[0][1]]
+        else:
+            packed.append((name, [slots[t] for _, t in took]))
+    return Plan(tasks, of_bucket, packed, total, [x for x, _ in sorted(queue, key=lambda q: q[1])])
 
 
 def _slot(p: Plan, key: str, spread: Column) -> Column:
-    lights = F.get(F.array(*[F.lit(s) for s in p.slots]), F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(p.tasks)).cast("int"))
+    lights = F.get(F.lit(p.slots), _bucket(key, p.tasks))
     mine = F.get(F.col("__slots"), F.pmod(spread, F.size("__slots")).cast("int"))
     return F.coalesce(mine, lights)
 
@@ -120,7 +129,7 @@ def per_key(df: DataFrame, key: str, item: str, value: str, tasks: int | None =
     """
     spark = df.sparkSession
     tasks = tasks or tasks_of(spark)
-    pairs = combine(df, key, item, value)
+    pairs = write_table(combine(df, key, item, value), "pairs")
     loads = write_table(pairs.groupBy("k").agg(F.count("*").alias("load"), F.sum("n").alias("n")), "loads")
     counted = loads.agg(F.sum("n").alias("n")).first().n or 0
     p = plan(loads, "k", tasks)

@@ -115,6 +115,8 @@ ORACLES = {
     "recommend_topn": f"WITH {RECS} SELECT id, rank, other_id, score FROM t",
     "recommend_formatted": f"WITH {RECS} SELECT id, '[' || string_agg('[' || other_id || ',' || score::DECIMAL(18,6) || ']', ',' ORDER BY rank) || ']' AS line FROM t GROUP BY id",
     "similar_topn": f"WITH {SIMILAR} SELECT id, rank, other_id, score FROM t",
+    "recommend_topn_blocks": f"WITH {RECS} SELECT id, rank, other_id, score FROM t",
+    "similar_topn_blocks": f"WITH {SIMILAR} SELECT id, rank, other_id, score FROM t",
     "similar_formatted": f"WITH {SIMILAR} SELECT id, '[' || string_agg(other_id || ':' || score::DECIMAL(18,6), ',' ORDER BY rank) || ']' AS line FROM t GROUP BY id",
     "ytx_partial": f"WITH {CHAIN} SELECT r::INT AS r, c::INT AS c, count(*) AS n, {r6('max(v)')} AS most FROM z GROUP BY ALL",
     "ytx_matrix": f"WITH {CHAIN} SELECT r::INT AS r, c::INT AS c, {r6('sum(v)')} AS v FROM z GROUP BY ALL",
@@ -133,5 +135,7 @@ s AS (SELECT file_name, line_id, t, max(CASE WHEN NOT open THEN line_id END) OVE
 r AS (SELECT file_name, head AS line_id, count(*) AS n_lines, string_agg(t, chr(10) ORDER BY line_id) AS record FROM s GROUP BY file_name, head)
 SELECT file_name, line_id, n_lines, CASE WHEN n_lines <= 10000 THEN md5(record) END AS record FROM r""",
     "p7_found": "SELECT user_id FROM pref_deltas WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) * 100 >= (SELECT count(user_id) FROM pref_deltas)",
+    "p7_joined": """SELECT d.user_id, x.generation_id, count(*) AS n_rows, min(rec_id) AS first_rec, max(rec_id) AS last_rec FROM pref_deltas d
+ JOIN (SELECT user_id, max(generation_id) AS generation_id FROM factors_x GROUP BY user_id) x ON d.user_id = x.user_id GROUP BY ALL""",
     "p7_user_loads": "SELECT user_id, count(*) AS n_rows, count(DISTINCT item_id) AS n_items, round(sum(pref_value::DOUBLE), 3) AS sum_value FROM pref_deltas WHERE user_id IS NOT NULL GROUP BY user_id",
 }

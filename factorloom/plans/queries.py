@@ -391,6 +391,17 @@ def similar_topn(spark, sf):
     return ranked(topn.similar(emb(spark, sf), 10, digits=6))
 
 
+@query
+def recommend_topn_blocks(spark, sf):
+    """The way of item tables that are too large to be sent to every executor."""
+    return ranked(topn.recommend(_work(spark, sf), odd(spark, sf), 10, digits=6, limit_bytes=40_000))
+
+
+@query
+def similar_topn_blocks(spark, sf):
+    return ranked(topn.similar(emb(spark, sf), 10, digits=6, limit_bytes=40_000))
+
+
 @query
 def similar_formatted(spark, sf):
     return lined(topn.similar(emb(spark, sf), 10, digits=6), "brackets")
@@ -510,3 +521,13 @@ def p7_found(spark, sf):
 def p7_user_loads(spark, sf):
     out, _ = skew.per_key(table(spark, sf, "pref_deltas"), "user_id", "item_id", "pref_value")
     return out.select("user_id", "n_rows", "n_items", F.round("sum_value", 3).alias("sum_value"))
+
+
+@query
+def p7_joined(spark, sf):
+    """Rows of each user beside the user's current vector's generation: the skewed side is split, the other one replicated only to the shards of its key."""
+    d = table(spark, sf, "pref_deltas").select("rec_id", "user_id", "pref_value").where("user_id is not null")
+    loads = write_table(d.groupBy("user_id").agg(F.count("*").alias("load")), "loads")
+    newest = table(spark, sf, "factors_x").groupBy("user_id").agg(F.max("generation_id").alias("generation_id"))
+    out = skew.join(d, newest, "user_id", skew.plan(loads, "user_id", skew.tasks_of(spark)))
+    return out.groupBy("user_id", "generation_id").agg(F.count("*").alias("n_rows"), F.min("rec_id").alias("first_rec"), F.max("rec_id").alias("last_rec"))

@@ -53,3 +53,9 @@ def test_join(spark):
 def test_empty(spark):
     got, total = skew.per_key(spark.createDataFrame([], "u bigint, i bigint, v float"), "u", "i", "v", tasks=3)
     assert total == 0 and got.count() == 0
+
+
+def test_light_keys_are_packed(spark):
+    loads = spark.createDataFrame([(k, 1 + (k * 7919) % 90) for k in range(3000)], "k bigint, load bigint")
+    p = skew.plan(loads, "k", 6)
+    assert not p.heavy and max(p.loads) < 1.1 * p.total / 6 and sum(p.loads) == p.total

@@ -63,3 +63,23 @@ def test_loading(spark):
     assert [tuple(r) for r in loading.clusters(members.where("cluster = 0"), centroids).collect()] == [(0, [1, 2], [1.0])]
     with pytest.raises(Exception, match="no centroid"):
         loading.clusters(members, centroids).collect()
+
+
+def test_blocks_that_cannot_win_are_not_asked(spark, monkeypatch):
+    monkeypatch.setattr(topn, "BLOCK", 32)
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(400, 4)) * np.exp(-np.arange(400) / 60)[:, None]
+    q = rng.normal(size=(30, 4))
+    asked = []
+    keep = topn.write_table
+
+    def spy(df, hint):
+        out = keep(df, hint)
+        if hint == "begun":
+            asked.extend(len(r.asked) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(topn, "write_table", spy)
+    got = {r.id: [x.id for x in r.recs] for r in topn.top_n(table(spark, q), table(spark, y), 3, digits=9, limit_bytes=64 * 5 * 8).collect()}
+    assert got == brute(q, y, 3)
+    assert len(asked) == 30 and sum(asked) < 0.5 * 30 * (400 // 32 - 2)
