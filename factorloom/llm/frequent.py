@@ -3,12 +3,15 @@
 Each of DEPTH rows of a sketch hashes a value to one of WIDTH buckets, and every bucket counts its rows in total and those with each of the 64 bits set.
 Where one value makes up more than half of a bucket, the bits of the majority spell it. Sketches of partitions are added; they have a fixed size,
 whatever the number of values. Decoded candidates are counted exactly in a second pass. A value that was missed would leave, in every row of the sketch, a
-bucket whose rest reaches the threshold; if each row has such buckets, the values that fall into them in all rows are counted exactly, so nothing is missed.
+bucket whose rest reaches the threshold; if each row has such buckets, the values that fall into them in all rows are counted exactly, as a distributed
+table, so nothing is missed and nothing unbounded comes to the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -63,34 +66,42 @@ def decode(counters: np.ndarray, threshold: float) -> np.ndarray:
     return np.unique((bits << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64))
 
 
+def least_count(total: int, share: float) -> int:
+    """The smallest count that is at least ``share`` of ``total``; the share is taken as the decimal number it is written as."""
+    return max(1, math.ceil(total * Fraction(repr(share))))
+
+
 def frequent(df: DataFrame, item: str, share: float, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
     """(item, n_rows, estimate): every value with at least ``share`` of the rows that have one, its count, and the sketch's estimate (never below the count).
 
-    Nulls don't count. An empty table, or one of nulls alone, gives no rows. Values are BIGINT; hash others first."""
+    Nulls don't count. An empty table, or one of nulls alone, gives no rows. Values are BIGINT; hash others first. At most depth × width candidates come
+    to the driver, whatever the share; values that the sketch can't rule out are counted as a table."""
     if not 0 < share <= 1:
         raise ValueError("share lies between 0 and 1")
     spark = df.sparkSession
     counters = sketch(df, item, depth, width)
     total = int(counters[0, :, 0].sum())
-    need = max(1, -(-total * round(share * 1_000_000) // 1_000_000))
+    need = least_count(total, share)
     candidates = decode(counters, need) if total else np.zeros(0, np.int64)
     values = df.select(F.col(item).cast("bigint").alias("item")).where("item is not null")
+    buckets = [_bucket(F.col("item"), d, width) for d in range(depth)]
+    estimate = F.least(*[F.get(F.lit(counters[d, :, 0].tolist()), b) for d, b in enumerate(buckets)])
 
     def counted(found: DataFrame) -> DataFrame:
         return found.groupBy("item").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= need)
 
     listed = spark.createDataFrame([(int(c),) for c in candidates], "item bigint")
-    heavy = counted(values.join(F.broadcast(listed), "item", "left_semi")).select("item", "n_rows", *[_bucket(F.col("item"), d, width).alias(f"b{d}") for d in range(depth)]).collect()  # at most 1 / share rows
+    heavy = counted(values.join(F.broadcast(listed), "item", "left_semi")).select("item", "n_rows", *[b.alias(f"b{d}") for d, b in enumerate(buckets)]).collect()  # of the candidates
     rest = counters[:, :, 0].copy()
     for r in heavy:
         for d in range(depth):
             rest[d, r[f"b{d}"]] -= r.n_rows
-    found = {r.item: r.n_rows for r in heavy}
+    found = spark.createDataFrame([(r.item, r.n_rows) for r in heavy], "item bigint, n_rows bigint")
     suspect = [np.flatnonzero(rest[d] >= need).tolist() for d in range(depth)]
     if total and all(suspect):
         within = F.lit(True)
         for d in range(depth):
-            within = within & _bucket(F.col("item"), d, width).isin(suspect[d])
-        found |= {r.item: r.n_rows for r in counted(values.where(within)).collect()}
-    estimates = {r.item: int(min(counters[d, r[f"b{d}"], 0] for d in range(depth))) for r in heavy}
-    return spark.createDataFrame([(i, n, estimates.get(i, n)) for i, n in found.items()], f"{item} bigint, n_rows bigint, estimate bigint")
+            within = within & buckets[d].isin(suspect[d])
+        missed = counted(values.where(within).join(F.broadcast(found.select("item")), "item", "left_anti"))
+        found = found.unionByName(missed)
+    return found.select(F.col("item").alias(item), "n_rows", estimate.cast("bigint").alias("estimate"))

@@ -33,3 +33,10 @@ def test_empty(spark):
     assert frequent.frequent(df, "x", 0.5).count() == 0 and frequent.frequent(df.limit(0), "x", 0.5).count() == 0
     with pytest.raises(ValueError):
         frequent.frequent(df, "x", 0)
+
+
+def test_small_and_odd_shares(spark):
+    assert frequent.least_count(10**10, 4e-7) == 4000 and frequent.least_count(1000, 0.005) == 5 and frequent.least_count(1001, 0.005) == 6 and frequent.least_count(3, 1 / 3) == 1
+    df = spark.createDataFrame([(i,) for i in range(300)] + [(7,), (7,)], "x bigint")
+    got = {r.x: r.n_rows for r in frequent.frequent(df, "x", 4e-7, width=4).collect()}  # every value counts, and none comes to the driver by itself
+    assert len(got) == 300 and got[7] == 3

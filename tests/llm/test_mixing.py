@@ -61,3 +61,32 @@ def test_splitting_tree():
         q = mixing.split(counts, shards, 3)
         assert (q.sum(axis=0) == counts).all() and (q >= 0).all() and np.ptp(q.sum(axis=1)) <= shards
     assert (mixing.split(counts, 7, 3) == mixing.split(counts, 7, 3)).all()
+
+
+@pytest.mark.parametrize("shards", [1, 5, 64])
+def test_a_task_finds_its_own_shards(shards):
+    counts = np.array([900, 0, 41])
+    every = list(mixing.ranges(counts, shards, 9))
+    assert [s for s, _, _ in every] == list(range(shards))
+    ends = np.zeros(3, int)
+    for shard, at, have in every:
+        assert (at == ends).all()
+        ends = ends + have
+        ((one, a, h),) = mixing.ranges(counts, shards, 9, shard, shard + 1)
+        assert one == shard and (a == at).all() and (h == have).all()
+    assert (ends == counts).all()
+
+
+def test_the_tree_decides_where_blocks_go(spark, monkeypatch):
+    d, _ = docs(spark)
+    one = {(r.doc_id, r.copy): r.shard for r in mixing.mix(d, targets(spark))[0].collect()}
+    assert len(set(one.values())) == mixing.shard_count(sum(r.n_tokens for r in mixing.mix(d, targets(spark))[0].collect())) > 1
+    big = mixing.shard_count(2.5e13)
+    assert 2.5e13 / big <= mixing.SHARD_TOKENS
+
+
+def test_a_cut_that_leaves_nothing(spark):
+    d = spark.createDataFrame([(i, s, 10) for i, s in enumerate("aaaaabbbbb")], "doc_id bigint, source string, n_tokens bigint")
+    t = targets(spark, [("a", 0.5, 1), ("b", 0.5, 1)])
+    assert sorted(r.doc_id for r in mixing.mix(d, t)[0].collect()) == list(range(10))
+    assert mixing.mix(d, t, total=50)[0].count() in (4, 5)

@@ -48,3 +48,31 @@ def test_tree_sorts(k):
         at[w] += 1
         tree.next(parts[w][at[w]] if at[w] < len(parts[w]) else runs.END)
     assert out == sorted(x for p in parts for x in p)
+
+
+@pytest.mark.parametrize("held", [3, 10, 100])
+def test_bucket_larger_than_what_a_task_holds(spark, monkeypatch, held):
+    monkeypatch.setattr(runs, "HELD_ROWS", held)
+    monkeypatch.setattr(runs, "RUN_ROWS", 5)
+    rng = random.Random(held)
+    rows = [(rng.choice([1, 1, 1, rng.randint(0, 9)]), float(rng.randint(0, 6)), rng.randint(0, 50)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "g bigint, s double, i bigint").repartition(3)
+    assert sorted((r.g, r["rank"], r.i, r.s) for r in runs.top_per_group(df, "g", "s", "i", 4, 2).collect()) == brute(rows, 4)
+
+
+def test_held_rows_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(runs, "HELD_ROWS", 50)
+    most = []
+    keep = runs.merge_block
+    monkeypatch.setattr(runs, "merge_block", lambda t, n: most.append(t.num_rows) or keep(t, n))
+    one = lambda r: pa.record_batch([pa.array([r] * 10), pa.array(range(10)), pa.array([7] * 10), pa.array([float(100 - r - k) for k in range(10)]), pa.array(range(10))], ["run", "pos", "g", "s", "i"])
+    out = pa.Table.from_batches(runs.merged((one(r) for r in range(200)), 3))
+    assert max(most) <= 60 and out.column("s").to_pylist() == [100.0, 99.0, 99.0] and out.column("rank").to_pylist() == [1, 2, 3]
+
+
+def test_stored_runs_are_used_again(spark):
+    df = spark.createDataFrame([(i % 3, float(i), i) for i in range(60)], "g bigint, s double, i bigint")
+    stored = runs.stored_runs(df, "g", "s", "i", 5)
+    assert [runs.merge_stored(stored, n).count() for n in (5, 2)] == [15, 6]
