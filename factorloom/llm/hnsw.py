@@ -1,13 +1,15 @@
 """Most similar vectors of every vector: hierarchical small-world graphs, one for each shard, with results merged.
 
-Vectors are sharded by the nearest of some centroids, and cells of more than a shard's rows are cut further by hash, so every row is indexed and no shard
-is unbounded. A query goes to its own cell and to the cells whose border is near enough that a close partner may lie behind it. A graph is a few flat
-arrays of neighbour numbers, one a level, with nodes of higher levels first. Nodes are inserted in batches that search the graph so far, all queries of a
-batch advancing together. Equal vectors are one node; of its ids no more than can occur in a result are kept.
+Vectors are sharded by the nearest of some centroids, of which there are two levels: a vector is compared with the few centroids of the first, then with those
+below the nearest, about two roots of the number of shards in all. Cells of more than a shard's rows are cut further by hash, so every row is indexed and no
+shard is unbounded. A query goes to its own cell and to the cells whose border is near enough that a close partner may lie behind it. A graph is a few flat
+arrays of neighbour numbers, one a level, with nodes of higher levels first; all queries of a batch advance together. Equal vectors are one node; of its ids
+no more than can occur in a result are kept.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,20 +17,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.linalg import matrix
+from ..functions.linalg import lists, matrix
 from ..session import write_table
 from .runs import top_per_group
 
-#: Neighbours of a node on level 0 and above, breadth of the search while building and later, rows of a batch.
-M0, M, EF_BUILD, EF, BATCH = 32, 12, 48, 48, 1024
+#: Neighbours of a node on level 0 and above, candidates while building, breadth of a search, rows of a batch.
+M0, M, EF_BUILD, EF, BATCH = 24, 12, 32, 32, 1024
 #: Nodes that are expanded at a time.
 STEP = 4
-SHARD_ROWS = 16_384
-#: Rows to which the centroids are fitted. All rows are indexed.
-FIT_ROWS = 20_000
-#: Distance of unit vectors within which partners across a border are looked for (0.13: cosine 0.9915), and cells asked at least.
-REACH, CELLS = 0.13, 1
+SHARD_ROWS = 2048
+#: Rows to which the centroids of the first level are fitted, and for each centroid of the second; rows of a task that compares with those. All rows are indexed.
+FIT_ROWS, FIT_EACH, PLACE_ROWS = 20_000, 64, 500_000
+#: Distance of unit vectors within which partners across a border are looked for (0.13: cosine 0.9915).
+REACH = 0.13
+#: Cells up to which their table is sent to every executor (24 bytes each).
+SMALL_CELLS = 500_000
+NEAR = "array<struct<neg: double, id: bigint>>"
 
 
 @dataclass
@@ -131,7 +137,9 @@ def _link_back(vec: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.n
 
 
 def build(vectors: np.ndarray, seed: int = 1) -> tuple[Graph, np.ndarray]:
-    """The graph of unit rows, and the position in ``vectors`` of each of its nodes."""
+    """The graph of unit rows, and the position in ``vectors`` of each of its nodes.
+
+    Candidates of the nodes of a level are found by products of blocks, as a shard is bounded; neighbours are chosen from them and linked back."""
     n = len(vectors)
     level = (-np.log(np.random.default_rng(seed).random(n)) / np.log(M)).astype(int)
     order = np.argsort(-level, kind="stable")
@@ -141,26 +149,19 @@ def build(vectors: np.ndarray, seed: int = 1) -> tuple[Graph, np.ndarray]:
     for k in range(len(sizes) - 1, -1, -1):
         m, size = (M0 if k == 0 else M), sizes[k]
         links = np.full((size, m), -1, np.int32)
-        at = 0
-        while at < size:
-            to = min(size, at + min(BATCH, max(64, at)))
-            new = np.arange(at, to, dtype=np.int32)
-            q = vec[at:to]
-            inner = q @ q.T
-            np.fill_diagonal(inner, -np.inf)
-            top = min(EF_BUILD, to - at)
+        top = min(EF_BUILD, size)
+        for at in range(0, size, BATCH):
+            to = min(size, at + BATCH)
+            inner = vec[at:to] @ vec[:size].T
+            inner[np.arange(to - at), np.arange(at, to)] = -np.inf
             near = np.argpartition(-inner, top - 1, axis=1)[:, :top]
-            ids, sims = (near + at).astype(np.int32), np.take_along_axis(inner, near, 1)
-            ids = np.where(sims > -np.inf, ids, -1)
-            if at:
-                found, fs = _search(vec, links[:at], q, _entry(graph, q, k, at), EF_BUILD)
-                ids, sims = np.concatenate([ids, found], axis=1), np.concatenate([sims, fs], axis=1)
-            by = np.argsort(-sims, axis=1, kind="stable")[:, :EF_BUILD]
-            ids, sims = np.take_along_axis(ids, by, 1), np.take_along_axis(sims, by, 1)
-            chosen = _choose(vec, ids, sims, m)
-            links[at:to] = chosen
-            _link_back(vec, links, new, chosen)
-            at = to
+            sims = np.take_along_axis(inner, near, 1)
+            by = np.argsort(-sims, axis=1, kind="stable")
+            ids, sims = np.take_along_axis(near, by, 1).astype(np.int32), np.take_along_axis(sims, by, 1)
+            links[at:to] = _choose(vec, np.where(sims > -np.inf, ids, -1), sims, m)
+        for at in range(0, size, BATCH):
+            new = np.arange(at, min(size, at + BATCH), dtype=np.int32)
+            _link_back(vec, links, new, links[new].copy())
         graph.levels[k] = links
     return graph, order
 
@@ -187,10 +188,8 @@ def query(graph: Graph, q: np.ndarray, k: int, own: np.ndarray | None = None) ->
     return np.concatenate(out) if out else np.zeros((0, k + 5), np.int32)
 
 
-def centroids(df: DataFrame, count: int, seed: int = 1) -> np.ndarray:
-    """Directions of ``count`` cells, fitted to at most FIT_ROWS rows."""
-    rows = df.orderBy(F.xxhash64("node", F.lit(seed))).limit(FIT_ROWS).select("features").toArrow()
-    v = matrix(rows.column(0))
+def fitted(v: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
+    """Directions of at most ``count`` cells of some rows."""
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
     rng = np.random.default_rng(seed)
     c = v[rng.permutation(len(v))[:count]]
@@ -203,7 +202,90 @@ def centroids(df: DataFrame, count: int, seed: int = 1) -> np.ndarray:
     return c
 
 
-def neighbours(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, reach: float = REACH, cells: int = CELLS) -> DataFrame:
+def asked(sim: np.ndarray, best: np.ndarray, half: np.ndarray, reach: float) -> np.ndarray:
+    """Which cells [rows, cells] have a border within ``reach`` of unit rows: sim are the products with the centroids, best the number of the nearest, half the distances of centroids.
+
+    The border of cell b seen from cell a is at (sim a - sim b) / distance of the centroids, as |v - c|² = 2 - 2 v·c."""
+    with np.errstate(all="ignore"):
+        border = (sim[np.arange(len(sim)), best][:, None] - sim) / half[best]
+    out = ~(border > reach)  # of equal centroids both
+    out[np.arange(len(sim)), best] = True
+    return out
+
+
+def _list(mask: np.ndarray, names: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(mask.sum(axis=1))]).astype(np.int32)), pa.array(np.broadcast_to(names, mask.shape)[mask]))
+
+
+def placed(nodes: DataFrame, total: int, shard_rows: int, reach: float, seed: int = 1) -> DataFrame:
+    """(node, features, ids, cell, asked): a row of each node with its cell and ids, and rows with null cell and ids for cells it asks elsewhere. Nodes: node, features, ids.
+
+    Cells are numbered by both levels of centroids. A partner within ``reach`` of a node lies in a cell that the node asks: it does on each level."""
+    spark = nodes.sparkSession
+    count = max(1, -(-total // shard_rows))
+    rough = max(1, math.isqrt(count))
+    first = fitted(matrix(nodes.orderBy(F.xxhash64("node", F.lit(seed))).limit(FIT_ROWS).select("features").toArrow().column(0)), rough, seed)
+    half = np.linalg.norm(first[:, None] - first[None], axis=2)
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = matrix(b.column(1))
+                sim = v @ first.T / np.linalg.norm(v, axis=1, keepdims=True)
+                own = sim.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32)), _list(asked(sim, own, half, reach), np.arange(len(first), dtype=np.int32))], ["node", "features", "ids", "top", "tops"])
+
+    rows = write_table(nodes.select("node", "features", "ids").mapInArrow(top, "node bigint, features array<float>, ids array<bigint>, top int, tops array<int>"), "tops")
+    sizes = {r.top: r.n for r in rows.groupBy("top").agg(F.count("*").alias("n")).collect()}  # about the root of the number of shards
+    below = {t: -(-n // shard_rows) for t, n in sizes.items()}
+    kinds = spark.createDataFrame([(t, below[t], min(1.0, FIT_EACH * below[t] / n)) for t, n in sizes.items()], "top int, cells int, part double")
+    sample = rows.join(F.broadcast(kinds), "top").where(F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.lit(1 << 30)) < F.col("part") * (1 << 30)).select("top", "cells", "features")
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        c = fitted(matrix(t.column("features")), t.column("cells")[0].as_py(), seed)
+        return pa.table([pa.array(np.full(len(c), key[0].as_py(), np.int32)), pa.array(np.arange(len(c), dtype=np.int32)), lists(c)], names=["top", "sub", "features"])
+
+    second = write_table(sample.groupBy("top").applyInArrow(fit, T._parse_datatype_string("top int, sub int, features array<double>")), "centroids")
+    asks = rows.withColumn("to", F.explode("tops")).select(F.col("to").alias("top"), "node", "features", F.when(F.col("to") == F.col("top"), F.col("ids")).alias("ids"))
+    parts = {r.top: -(-r.n // PLACE_ROWS) for r in asks.groupBy("top").agg(F.count("*").alias("n")).collect()}
+    many = F.broadcast(spark.createDataFrame(list(parts.items()), "top int, parts int"))
+    asks = asks.join(many, "top").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
+    held = second.join(many, "top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cols = ["top", "part", "role", "node", "features", "ids"]
+    both = held.select("top", "part", F.lit(0).alias("role"), F.col("sub").cast("bigint").alias("node"), F.transform("features", lambda x: x.cast("double")).alias("features"), F.lit(None).cast("array<bigint>").alias("ids"))
+    both = both.unionByName(asks.select("top", "part", F.lit(1).alias("role"), "node", F.col("features").cast("array<double>").alias("features"), "ids"))
+
+    def sub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, c, between, names = None, [], None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(x).to_numpy() for x in range(3)])
+            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
+            for lo, hi in zip(cuts, cuts[1:]):
+                name, some = tuple(key[:2, lo]), b.slice(lo, hi - lo)
+                if key[2, lo] == 0:
+                    if name != at:
+                        at, parts = name, []
+                    parts.append(some)
+                    c = None
+                    continue
+                if c is None:
+                    t = pa.Table.from_batches(parts)
+                    c, names = matrix(t.column("features")), t.column("node").to_numpy() + (int(name[0]) << 32)
+                    between = np.linalg.norm(c[:, None] - c[None], axis=2)
+                v = matrix(some.column(4))
+                sim = v @ c.T / np.linalg.norm(v, axis=1, keepdims=True)
+                best = sim.argmax(axis=1)
+                mine = np.asarray(some.column(5).is_valid())
+                cell = pa.array(names[best], mask=~mine)
+                yield pa.RecordBatch.from_arrays([some.column(3), some.column(4).cast(pa.list_(pa.float32())), some.column(5), cell, _list(asked(sim, best, between, reach), names)], ["node", "features", "ids", "cell", "asked"])
+
+    spread = both.repartition("top", "part").sortWithinPartitions("top", "part", "role")
+    return write_table(spread.select(*cols).mapInArrow(sub, "node bigint, features array<float>, ids array<bigint>, cell bigint, asked array<bigint>"), "cells")
+
+
+def neighbours(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, reach: float = REACH) -> DataFrame:
     """(id, near ARRAY<STRUCT<id, cosine>>): about the k vectors of highest cosine to each, without itself, ties by smaller id; fewer if there are fewer.
 
     vectors: id (unique), features (usable ones of one length). Approximate: recall is measured against brute force in the tests and stated in the README.
@@ -214,47 +296,23 @@ def neighbours(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, reach:
     rows = write_table(vectors.select("id", "features", F.xxhash64("features").alias("node")), "vectors")
     kinds = rows.groupBy("node").agg(F.any_value("features").alias("features"), F.min("id").alias("first"), F.count("*").alias("n"))
     kinds = write_table(kinds, "nodes")
-    many = kinds.where("n > 1").select("node")
-    copies = top_per_group(rows.join(many, "node", "left_semi").select("node", "id", F.lit(0.0).alias("s")), "node", "s", "id", k + 1).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    nodes = kinds.join(copies, "node", "left").select("node", "features", F.coalesce("ids", F.array("first")).alias("ids"))
     total = kinds.count()
     if not total:
         return spark.createDataFrame([], "id bigint, near array<struct<id: bigint, cosine: double>>")
-    count = max(1, -(-total // shard_rows))
-    centres = centroids(kinds, count)
-    half = np.linalg.norm(centres[:, None] - centres[None], axis=2)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = matrix(b.column(1))
-            sim = v @ centres.T / np.linalg.norm(v, axis=1, keepdims=True)
-            own = sim.argmax(axis=1)
-            best = sim[np.arange(len(v)), own]
-            with np.errstate(all="ignore"):
-                border = (best[:, None] - sim) / half[own]  # distance of a unit vector to the border of each cell, as |a - c|² = 2 - 2 a·c
-            ask = ~(border > reach)  # of equal centroids both
-            if cells > 1 and count > 1:
-                ask[np.arange(len(v))[:, None], np.argpartition(-sim, min(cells, count) - 1, axis=1)[:, :cells]] = True
-            ask[np.arange(len(v)), own] = True
-            lens = ask.sum(axis=1)
-            flat = np.nonzero(ask)[1].astype(np.int32)
-            asked = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(own.astype(np.int32)), asked], ["node", "features", "ids", "cell", "asked"])
-
-    placed = write_table(nodes.mapInArrow(place, "node bigint, features array<float>, ids array<bigint>, cell int, asked array<int>"), "cells")
-    sizes = {r.cell: -(-r.n // shard_rows) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # as many rows as centroids
-    parts = F.array(*[F.lit(sizes.get(c, 0)) for c in range(count)])
-    mine = F.pmod(F.xxhash64("node", F.lit(3)), F.get(parts, F.col("cell")).cast("bigint")).cast("int")
-    index = placed.select(F.col("cell").alias("c"), mine.alias("p"), F.lit(0).alias("role"), "node", "features", "ids")
-    asks = placed.select("cell", mine.alias("mine"), "node", "features", F.explode("asked").alias("c"))
-    asks = asks.where(F.get(parts, F.col("c")) > 0).select("cell", "mine", "c", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("c")) - 1)).alias("p"), "node", "features")
-    asks = asks.where((F.col("c") != F.col("cell")) | (F.col("p") != F.col("mine"))).select("c", "p", F.lit(1).alias("role"), "node", "features", F.lit(None).cast("array<bigint>").alias("ids"))
-    shards = sum(sizes.values())
-    names = {s: i for i, s in enumerate((c, p) for c in range(count) for p in range(sizes.get(c, 0)))}
-    first = F.array(*[F.lit(names.get((c, 0), 0)) for c in range(count)])
-    tasks = index.unionByName(asks).withColumn("shard", F.get(first, F.col("c")) + F.col("p")).drop("c", "p")
+    many = kinds.where("n > 1").select("node")
+    copies = top_per_group(rows.join(many, "node", "left_semi").select("node", "id", F.lit(0.0).alias("s")), "node", "s", "id", k + 1).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    nodes = kinds.join(copies, "node", "left").select("node", "features", F.coalesce("ids", F.array("first")).alias("ids"))
+    at = placed(nodes, total, shard_rows, reach)
+    cells = write_table(at.where("cell is not null").groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")), "parts")
+    shards = cells.agg(F.sum("parts").alias("n"), F.count("*").alias("cells")).first()
+    small = F.broadcast(cells) if shards.cells <= SMALL_CELLS else cells
+    mine = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts").cast("bigint")).cast("int")
+    index = at.where("cell is not null").withColumn("c", F.col("cell")).join(small, "c").select("c", mine.alias("p"), F.lit(0).alias("role"), "node", "features", "ids")
+    asks = at.select("node", "features", "cell", F.explode("asked").alias("c")).join(small, "c")
+    asks = asks.select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), mine.alias("mine"), "node", "features", "cell")
+    own = F.coalesce(F.col("cell") == F.col("c"), F.lit(False)) & (F.col("p") == F.col("mine"))
+    asks = asks.where(~own).select("c", "p", F.lit(1).alias("role"), "node", "features", F.lit(None).cast("array<bigint>").alias("ids"))
+    tasks = index.unionByName(asks)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {"shard": None, "held": [], "graph": None}
@@ -288,26 +346,25 @@ def neighbours(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, reach:
         for b in batches:
             if not b.num_rows:
                 continue
-            shard, role = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero((shard[1:] != shard[:-1]) | (role[1:] != role[:-1])) + 1, [len(shard)]])
+            key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)])
+            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
             for a, z in zip(cuts, cuts[1:]):
-                part = b.slice(a, z - a)
-                if shard[a] != state["shard"] or role[a] == 1:
-                    if state["held"]:
-                        yield from open_shard()
-                if role[a] == 0:
-                    state["shard"] = shard[a]
+                part, shard, role = b.slice(a, z - a), tuple(key[:2, a]), key[2, a]
+                if (shard != state["shard"] or role == 1) and state["held"]:
+                    yield from open_shard()
+                if role == 0:
+                    state["shard"] = shard
                     state["held"].append(part)
-                elif shard[a] == state["shard"]:  # else a part of a cell that got no rows
-                    yield results(part.column(2).to_numpy(), matrix(part.column(3)), None)
+                elif shard == state["shard"]:  # else a part of a cell that got no rows
+                    yield results(part.column(3).to_numpy(), matrix(part.column(4)), None)
         if state["held"]:
             yield from open_shard()
 
-    spread = tasks.select("shard", "role", "node", "features", "ids").repartition(max(1, min(shards, 4096)), "shard").sortWithinPartitions("shard", "role")
-    found = spread.mapInArrow(answer, "node bigint, near array<struct<neg: double, id: bigint>>")
+    spread = tasks.select("c", "p", "role", "node", "features", "ids").repartitionByRange(max(1, min(shards.n, 4096)), "c", "p").sortWithinPartitions("c", "p", "role")
+    found = spread.mapInArrow(answer, f"node bigint, near {NEAR}")
     merged = found.groupBy("node").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))  # k + 1 for each shard asked
     each = rows.select("id", "node").join(merged, "node", "left")
-    others = F.slice(F.filter(F.coalesce("near", F.array().cast("array<struct<neg: double, id: bigint>>")), lambda x: x["id"] != F.col("id")), 1, k)
+    others = F.slice(F.filter(F.coalesce("near", F.array().cast(NEAR)), lambda x: x["id"] != F.col("id")), 1, k)
     return each.select("id", F.transform(others, lambda x: F.struct(x["id"].alias("id"), (-x["neg"]).alias("cosine"))).alias("near"))
 
 
