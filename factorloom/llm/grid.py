@@ -3,7 +3,8 @@
 1. Unit vectors are turned to their principal axes, and the first few coordinates are quantised to cells as wide as the distance of two linked vectors,
    so linked vectors lie in the same cell or in adjacent ones. Rows of each cell are counted.
 2. Block by block, densest cells first, a vector that is linked to many others is made a node that stands for all of them (a dense part of its cell);
-   vectors with few links are nodes of their own. Every row now hangs on a node by a link.
+   vectors with few links are nodes of their own. Every row now hangs on a node by a link. Nodes of all blocks are taken together, in order of their cells,
+   and a dense node takes up the nodes linked to it, until there are no more dense nodes than fit a block: their number follows the space, not the rows.
 3. Cells are joined with their adjacent cells; nodes of joined cells are linked where their vectors are.
 4. Minimum labels are propagated along the links to convergence, in SQL, with pointer jumping.
 5. What is left is to see whether two components touch in rows that aren't nodes. For two dense components, rows are projected on the line between
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import matrix
-from ..session import write_table
+from ..session import forget, write_table
 from .runs import top_per_group
 
 #: Quantised axes; rows of a block in which nodes are chosen; links that make a node dense; rows of a node block; single nodes and pairs of centres of a round.
 AXES, BLOCK, DENSE, PIECE, ROUND = 4, 32_768, 16, 8192, 50_000
+#: Members that stream past one piece of the nodes that ask them.
+STREAM = 1_000_000
 #: Dense nodes up to which their labels are sent to all tasks (16 bytes each).
 SMALL_NODES = 500_000
 #: Dense components up to which their centres are held by every task; beyond, denser nodes are asked for.
@@ -124,6 +127,62 @@ def points(vectors: DataFrame, axes: np.ndarray, least: float, dense: int) -> Da
     return vectors.select("side", "id", "features").mapInArrow(place, POINTS + ", lead boolean")
 
 
+def taken_up(u: np.ndarray, dense: np.ndarray, least: float) -> np.ndarray:
+    """The row that stands for each row: a dense one stands for all that are linked to it and aren't spoken for."""
+    stands, rest = np.arange(len(u)), np.arange(len(u))
+    v = u.astype(np.float32)
+    for head in np.flatnonzero(dense):
+        if stands[head] != head:
+            continue
+        linked = v[rest] @ v[head] >= least + ADD
+        stands[rest[linked]] = head
+        rest = rest[~linked]
+    return stands
+
+
+def heads_of(found: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """((side, node, cell, features, dense) of the nodes that stand, (node, top) of those that were taken up) of the nodes of all blocks."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            side = np.array(t.column("side").to_pylist())
+            for name in np.unique(side):
+                part = t.filter(pa.array(side == name)).combine_chunks()
+                stands = taken_up(_unit(matrix(part.column("features"))), part.column("dense").to_numpy(zero_copy_only=False), least)
+                node = part.column("node").to_numpy()
+                yield from part.append_column("top", pa.array(node[stands])).to_batches()
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                if sum(x.num_rows for x in held) >= BLOCK:
+                    yield from flush()
+                    held.clear()
+        if held:
+            yield from flush()
+
+    heads, ups = found, None
+    many = heads.where("dense").count()
+    while many:
+        parts = max(1, -(-heads.count() // BLOCK))
+        step = write_table(heads.repartitionByRange(parts, "side", "cell", "node").mapInArrow(take, "side string, node bigint, cell bigint, features array<float>, dense boolean, top bigint"), "heads")
+        up = step.where("node != top").select("node", "top")
+        if ups is not None:  # those taken up before follow the node that took them
+            then = up.select(F.col("node").alias("top"), F.col("top").alias("_top"))
+            up = up.unionByName(ups.join(then, "top", "left").select("node", F.coalesce("_top", "top").alias("top")))
+        ups = write_table(up, "ups")
+        heads = step.where("node = top").drop("top")
+        left = heads.where("dense").count()
+        if left <= BLOCK or left > 0.9 * many:
+            if parts == 1 or left > 0.9 * many:
+                break
+        many = left
+    return heads, ups if ups is not None else found.where("false").select("node", F.col("node").alias("top"))
+
+
 def neighbour_cells(cells: DataFrame, axes: int) -> DataFrame:
     """(side, a, b), a <= b: pairs of occupied cells that are the same or adjacent on every axis. Cells: side, cell; at most some for each of axes."""
     part = lambda c, k: F.shiftright(c, 10 * k).bitwiseAND(F.lit(1023)).cast("int")
@@ -190,12 +249,14 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.where("a != b")
     both = write_table(both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    at = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("_far"))
         moved = write_table(step.join(jump, "label", "left").select("node", "_old", F.least("label", F.coalesce("_far", "label")).alias("label")), "labels")
-        labels = moved.select("node", "label")
+        forget(edges.sparkSession, at)
+        at, labels = moved, moved.select("node", "label")
         if moved.where("label != _old").isEmpty():
             return labels
 
@@ -330,27 +391,65 @@ def _singles(members: DataFrame, single: DataFrame, names: np.ndarray, sides: np
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(names[c]), b.column(2).take(pa.array(r))], ["node", "label", "features"])
 
     asks = write_table(single.select("node", "label", "features", "side").mapInArrow(cone, "node bigint, label bigint, features array<float>"), "cone")
-    total = asks.count()
-    out = spark.createDataFrame([], "a bigint, b bigint")
-    rounds = -(-total // ROUND)
-    for k in range(rounds):  # a bounded number of single nodes is held by every task
-        part = asks.where(F.pmod(F.xxhash64("node", "label"), F.lit(rounds)) == k).toArrow()
-        label, node, v = part.column("label").to_numpy(), part.column("node").to_numpy(), _unit(matrix(part.column("features")))
-        shared = spark.sparkContext.broadcast({name: (node[at], v[at]) for name, at in _by_label(label)})
-
-        def meet(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            met: set[tuple[int, int]] = set()
-            for b in batches:
-                if b.num_rows:
-                    u = _unit(matrix(b.column(1)))
-                    for name, at in _by_label(b.column(0).to_numpy()):
-                        if name in shared.value:
-                            nodes, w = shared.value[name]
-                            met.update((int(x), name) for x in nodes[(u[at] @ w.T).max(axis=0) >= least])
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in met], pa.int64()), pa.array([m[1] for m in met], pa.int64())], ["a", "b"])
-
-        out = out.unionByName(members.select("label", "features").mapInArrow(meet, "a bigint, b bigint").distinct())
-    return out
+    if asks.limit(ROUND + 1).count() > ROUND:
+        return _met(asks, members, least)
+    part = asks.toArrow()
+    label, node, v = part.column("label").to_numpy(), part.column("node").to_numpy(), _unit(matrix(part.column("features"), centres.shape[1])) if part.num_rows else np.zeros((0, centres.shape[1]))
+    shared = spark.sparkContext.broadcast({name: (node[at], v[at]) for name, at in _by_label(label)})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
+        for b in batches:
+            if b.num_rows:
+                u = _unit(matrix(b.column(1)))
+                for name, at in _by_label(b.column(0).to_numpy()):
+                    if name in shared.value:
+                        nodes, w = shared.value[name]
+                        met.update((int(x), name) for x in nodes[(u[at] @ w.T).max(axis=0) >= least])
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in met], pa.int64()), pa.array([m[1] for m in met], pa.int64())], ["a", "b"])
+
+    return members.select("label", "features").mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _met(asks: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """(a, b): single nodes and the components that have a member linked to them, of (node, label, features) and (label, features): members stream past the
+    nodes that ask their component, both cut into pieces."""
+    some = asks.groupBy("label").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    size = members.groupBy("label").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("parts")).join(some, "label")
+    size = write_table(size, "asked")  # one row a component, at most CENTRES
+    part = F.pmod(F.xxhash64("features"), F.col("parts")).cast("int")
+    left = asks.join(F.broadcast(size), "label").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = members.join(F.broadcast(size), "label").withColumn("part", part).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    cols = ["label", "piece", "part", "role", "node", "features"]
+    both = left.withColumn("role", F.lit(0)).select(*cols).unionByName(right.withColumns({"role": F.lit(1), "node": F.lit(0).cast("bigint")}).select(*cols))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, nodes, w, met = None, [], None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
+            for lo, hi in zip(cuts, cuts[1:]):
+                name, rows = tuple(key[:3, lo]), b.slice(lo, hi - lo)
+                if key[3, lo] == 0:
+                    if name != at:
+                        at, held = name, []
+                    held.append(rows)
+                    w = None
+                    continue
+                if name != at:
+                    continue
+                if w is None:
+                    t = pa.Table.from_batches(held)
+                    nodes, w, met = t.column("node").to_numpy(), _unit(matrix(t.column("features"))), np.zeros(t.num_rows, bool)
+                u = _unit(matrix(rows.column(5)))
+                new = ((u @ w.T) >= least).any(axis=0) & ~met
+                met |= new
+                if new.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array(np.full(int(new.sum()), name[0]))], ["a", "b"])
+
+    return both.repartition("label", "piece", "part").sortWithinPartitions("label", "piece", "part", "role").mapInArrow(stream, "a bigint, b bigint").distinct()
 
 
 def cluster(vectors: DataFrame, least: float = 0.8, smallest: int = 5, axes: int = AXES, dense: int = DENSE, fit: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -363,7 +462,9 @@ def cluster(vectors: DataFrame, least: float = 0.8, smallest: int = 5, axes: int
     """
     turned = axes_of(vectors if fit is None else fit, axes)
     rows = write_table(points(vectors, turned, least, dense), "points")
-    nodes = rows.where("lead").select("side", "node", "cell", "features", "dense")
+    nodes, ups = heads_of(rows.where("lead").select("side", "node", "cell", "features", "dense"), least)
+    nodes = write_table(nodes, "nodes")
+    tops = nodes.select("node", F.col("node").alias("top")).unionByName(ups)  # of the nodes of all blocks
     cells = write_table(nodes.groupBy("side", "cell").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")), "cells")
     pairs = neighbour_cells(cells, axes)
     pa_, pb = (cells.select("side", F.col("cell").alias(c), F.col("pieces").alias(f"n{c}")) for c in "ab")
@@ -377,8 +478,9 @@ def cluster(vectors: DataFrame, least: float = 0.8, smallest: int = 5, axes: int
     labels = components(edges)
 
     labelled = nodes.join(labels, "node", "left").select("side", "node", "features", "dense", F.coalesce("label", "node").alias("label"))
-    names = write_table(labelled.where("dense").select("node", "label"), "dense")
-    members = rows.where("dense").select("side", "node", "features")
+    heads = labelled.where("dense").select("node", "label")
+    names = write_table(tops.join(heads.withColumnRenamed("node", "top"), "top").select("node", "label"), "dense")
+    members = rows.select("side", "node", "features")
     if names.limit(SMALL_NODES + 1).count() <= SMALL_NODES:  # every pass over the members joins them without a shuffle
         members = members.join(F.broadcast(names), "node").select("side", "label", "features")
     else:
@@ -387,11 +489,11 @@ def cluster(vectors: DataFrame, least: float = 0.8, smallest: int = 5, axes: int
     more = touching(members, single, least)
     if more is None:
         return cluster(vectors, least, smallest, axes, dense * 4, fit)
-    joined = single.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(names.select(F.col("node").alias("a"), F.col("label").alias("b"))).where("a != b")
+    joined = single.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(heads.select(F.col("node").alias("a"), F.col("label").alias("b"))).where("a != b")
     more = write_table(more, "touching")
     if not more.isEmpty():
         labels = components(joined.unionByName(more))
-    of_node = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    of_node = tops.join(labels.withColumnRenamed("node", "top"), "top", "left").select("node", F.coalesce("label", "top").alias("label"))
     sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     whole = of_node.join(sizes, "node").withColumn("_", F.lit(0))
     roots = whole.groupBy("label").agg(F.sum("n").alias("n"), F.min("least").alias("root_id")).where(F.col("n") >= smallest)

@@ -93,3 +93,32 @@ def test_description(spark):
 def test_empty(spark):
     e = spark.createDataFrame([], "side string, id bigint, features array<float>")
     assert grid.cluster(e)[0].count() == 0
+
+
+def test_nodes_follow_the_space(spark, monkeypatch):
+    """Ten times as many rows in the same places give no more dense nodes to compare."""
+    monkeypatch.setattr(grid, "BLOCK", 64)
+    seen = []
+    keep = grid.heads_of
+
+    def spy(found, least):
+        out = keep(found, least)
+        seen.append((found.where("dense").count(), out[0].where("dense").count()))
+        return out
+
+    monkeypatch.setattr(grid, "heads_of", spy)
+    rng = np.random.default_rng(1)
+    for n in (200, 2000):
+        sides = {"x": np.concatenate([e + 0.05 * rng.normal(size=(n // 4, 4)) for e in np.eye(4)])}
+        assert {tuple(r) for r in grid.cluster(table(spark, sides), 0.8, 5, axes=3, dense=4)[0].collect()} == brute(sides, 0.8, 5)
+    assert seen[1][0] > seen[1][1] == seen[0][1] == 4
+
+
+def test_single_nodes_by_key(spark, monkeypatch):
+    monkeypatch.setattr(grid, "ROUND", 0)
+    monkeypatch.setattr(grid, "PIECE", 3)
+    monkeypatch.setattr(grid, "STREAM", 20)
+    rng = np.random.default_rng(7)
+    sides = {"x": blobs(6, 150), "y": np.concatenate([blobs(7, 100, 6), rng.normal(size=(60, 6))])}
+    sides = {"x": np.pad(sides["x"], ((0, 0), (0, 0))), "y": np.pad(sides["y"], ((0, 0), (0, 2)))}
+    assert {tuple(r) for r in grid.cluster(table(spark, sides), 0.8, 5, axes=3, dense=4)[0].collect()} == brute(sides, 0.8, 5)
