@@ -105,6 +105,12 @@ def p10_found(spark, sf):
     return residue.residue(table(spark, sf, "documents"))
 
 
+@query
+def p10_evidence(spark, sf):
+    """What speaks for each suspect record, found or not."""
+    return residue.evidence(table(spark, sf, "documents"))
+
+
 @query
 def p10_kept(spark, sf):
     docs = table(spark, sf, "documents")

@@ -1,8 +1,10 @@
 """Texts that are left-overs of a site or a template instead of a post: error pages, notices, filler, slots that were never filled.
 
-Of each text, what is shown rather than said (code, quotations, links) and the furniture of pages is taken away. Detectors look at the rest: messages of
-sites and notices when they are all that is left, filler by paragraph, slots anywhere in the prose. Where words only hint at a message, evidence is combined:
-the same low-information rest, up to numbers, must come from several hosts (sources) and share no term with the title of its question.
+Of each text, what is shown rather than said (code, quotations, links) and the furniture of pages is taken away. Placeholder detectors look at the rest: filler
+by paragraph, slots anywhere in the prose. Messages of sites and notices are found by combined evidence. Wording is one part of it: sentences that read as a
+message, words that hint at one, or words that this corpus uses in messages above all. The others come from the corpus: the terms of the rest against those
+of the title and the tags of its question, the number of records that say the same up to names and numbers, and the number of hosts (sources) they are on.
+No part is enough by itself.
 """
 
 from __future__ import annotations
@@ -17,8 +19,14 @@ from pyspark.sql import functions as F
 
 from ..session import write_table
 
-#: A hint counts when so many records of so many hosts say the same.
+#: Copies count when so many records of so many hosts say the same.
 COPIES, HOSTS = 3, 2
+#: Weight of wording that reads as a message, and of mere hints; what a record needs. Copies, hosts and a title about something else add one each.
+READS, HINTS, NEEDED = 3, 1, 4
+#: Terms of messages learned from the corpus: records of messages that have it, share of its records, and the most that are kept.
+TERM_RECORDS, TERM_SHARE, TERMS = 3, 0.5, 5000
+#: Terms of a task whose counts are held before they are passed on.
+HELD_TERMS = 200_000
 #: Characters from which a rest counts as long: it must begin as a message or consist of them, and may share some words with a title by chance.
 LONG_CHARS, SHORT_CHARS = 900, 200
 
@@ -81,25 +89,59 @@ HINT_ELSEWHERE = re.compile(
 )
 #: What somebody writes about a message: first person and questions, but not a site's own buttons ("my account", "I am human") or questions to its reader.
 ASKS = re.compile(
-    r"\b(?:how (?:can|do|to)|why (?:does|do|is)|what (?:is|does)|i (?:get|see|have|need|want|tried|expected|am(?! (?:human|not a|over|an adult|at least)\b))|my\b(?! (?:accounts?|profile|orders?|cart|settings)\b)|we have)\b|^(?!.*\byou(?:r|rs)?\b).*\?\s*$",
-    re.I | re.S,
+    r"\b(?:how (?:can|do|to)|why (?:does|do|is)|what (?:is|does)|i (?:get|see|have|need|want|tried|expected|am(?! (?:human|not a|over|an adult|at least)\b))|my\b(?! (?:accounts?|profile|orders?|cart|settings)\b)|we have)\b",
+    re.I,
 )
+TO_READER = re.compile(r"\byou(?:r|rs)?\b", re.I)
 #: A character of such a sentence weighs as so many of a message.
 TALK_WEIGHT = 3
 
+# Of each pattern of STRONG some text, in lower case, that it can't do without; a text with none of them isn't searched for it.
+SIGNS = [
+    "bad forbid unauthor payment found allowed time-out timeout conflict gone many internal implemented gateway unavailable",
+    "http error fehler erreur erro ошибка エラー 错误",
+    "错误 エラー ошибка fehler erreur error",
+    "{",
+    "<error>",
+    "unhandled exception|fatal error|server log|database|traceback",
+    "upstream",
+    "url server find page",
+    "página pagina seite page страница ページ 页面 请求",
+    "denied permission mistake zugriff acc acceso acesso доступ アクセス 拒绝",
+    "removed deleted withdrawn suspended closed available",
+    "maintenance be_back temporarily vorübergehend vorubergehend erreur error erro fehler ошибка недоступ エラー メンテナンス 维护 暂时 temporairement temporalmente",
+    "wrong notified told try",
+    "session sitzung sesi sessão sessao sign_in signed_in signin log_in login logged_in сессия 会话 セッション 登录 ログイン anmelden connecter melden",
+    "requests traffic rate",
+    "enable activate allow accept turn switch unblock required disabled blocked supported needed",
+    "need require loaded blocked necessary",
+    "cookies browser device upgrade",
+    "checking robot human bot puzzle captcha security",
+    "aktivieren erlauben erlaubt aktiviert activ habilit ativ включите 启用 有効 cookies",
+]
+SIGNS = [[y.replace("_", " ") for y in (x.split("|") if "|" in x else x.split())] for x in SIGNS]
+#: The same for filler, for the rests of furniture, and for hints in other languages.
+FILLER_SIGNS = "sample text|dummy|placeholder|your own|filled|a heading for|content for|coming soon|lorem ipsum|remplissage|relleno|preenchimento|blindtext|fülltext|platzhalter|текст|ここ|ダミー|此处|在此|这里|占位|aquí va|aqui vai|hier steht|votre texte|todo|tbd".split("|")
+FRAME_SIGNS = "skip to|menu|log in|login|– questions|back to|help ·|home |©|ray ".split("|")
+ELSEWHERE_SIGNS = "fehler wartung erreichbar verfügbar gesperrt anmelden abgelaufen zugriff seite website später techniker störung erreur maintenance indispon disponible accès connexion expiré tard navig serv réessayer error mantenimiento acces pagina página sesión sitio erro manuten sess tardi fout onderhoud beschikbaar toegang later dienst błąd konserwacja niedost dost strona później hata bakım erişim sayfa sonra ошибка обслуж недоступ доступ страниц сервер позже сайт войдите технически".split()
+ECHOED = "qwert asdf dummy test bla foo xxx sample lorem text placeholder filler yxcv zxcv abc".split()
+
+
+def has_sign(low: str, signs: list[str]) -> bool:
+    return any(x in low for x in signs)
+
+
 # --- filler ------------------------------------------------------------------------------------------------------------------------------------
 
 # Words of the usual dummy Latin.
 LATIN = frozenset(
-    """a ac accumsan ad adipiscing adipisicing aenean aliqua aliquam aliquet aliquip amet anim ante aptent arcu at auctor augue aute bibendum blandit
-    cillum class commodo condimentum congue consectetur consequat convallis cras culpa cupidatat curabitur cursus dapibus deserunt diam dictum dictumst dignissim dis
-    do dolor dolore donec dui duis ea efficitur egestas eget eiusmod eleifend elementum elit enim erat eros esse est et etiam eu euismod ex excepteur exercitation
-    facilisi facilisis faucibus felis fermentum feugiat finibus fringilla fugiat fusce gravida habitant hendrerit iaculis id imperdiet in incididunt integer interdum
-    ipsum irure justo labore laboris lacinia lacus laoreet lectus leo libero ligula lobortis lorem luctus maecenas magna malesuada massa mattis mauris maximus metus mi
-    minim molestie mollis mollit morbi nam nec neque nibh nisi nisl non nostrud nulla nullam nunc occaecat odio officia orci ornare pariatur pellentesque pharetra
-    phasellus placerat porta porttitor posuere praesent pretium proident pulvinar purus quam qui quis quisque reprehenderit rhoncus risus rutrum sagittis sapien
-    scelerisque sed sem semper sint sit sodales sollicitudin sunt suscipit suspendisse tellus tempor tempus tincidunt tortor tristique turpis ullamco ultrices
-    ultricies urna ut varius vehicula vel velit venenatis veniam vestibulum vitae vivamus viverra voluptate volutpat vulputate""".split()
+    """a ac ad adipiscing adipisicing aenean aliqua aliquam aliquet aliquip amet anim ante arcu at auctor augue aute cillum commodo condimentum consectetur
+    consequat convallis cras culpa cupidatat curabitur cursus deserunt diam dictum dis do dolor dolore donec dui duis ea egestas eget eiusmod eleifend
+    elementum elit enim erat eros esse est et etiam eu ex excepteur exercitation felis fugiat fusce gravida id in incididunt integer ipsum irure justo
+    labore laboris lacus lectus leo lorem maecenas magna massa metus mi minim mollis mollit morbi nam nec neque nisi nisl non nostrud nulla nullam nunc
+    occaecat odio officia orci pariatur porta praesent pretium proident purus quam qui quis quisque reprehenderit risus sagittis sapien sed sem semper
+    sint sit sunt suspendisse tellus tempor tempus tincidunt tortor turpis ullamco ultrices urna ut varius vel velit veniam vitae vivamus viverra
+    voluptate""".split()
 )
 SHORT_LATIN = frozenset("a ac ad at do ea est et eu ex id in mi nam non qui sem sit ut leo class dis sed at".split())
 HOME_ROW = frozenset("asdfghjkl;")
@@ -129,7 +171,7 @@ OPENING = re.compile(rf"<a\b(?:{IN_ADDRESS.pattern}|[^>])*>", re.I)
 #: A link whose address may have spaces within slots.
 SLOT_LINK = re.compile(rf"!?\[([^\]\n]*)\]\((?:{IN_ADDRESS.pattern}|[^)\s])*\)|https?://(?:{IN_ADDRESS.pattern}|\S)+|<a\b(?:{IN_ADDRESS.pattern}|[^>])*>.*?</a>", re.S | re.I)
 #: What every slot has in some form; texts without it need no closer look.
-MARKS = re.compile(r"[{}$#*\[\]<%«@~]|__|&[lg#]|goes here|\.label", re.I)
+MARKS = re.compile(r"[{$\[<%«~]|\*\||@@|__|&[lg#]|goes\s+here|\.label", re.I)
 ELEMENTS = frozenset("a abbr article aside audio b blockquote body br button canvas caption center cite code col dd del details dfn div dl dt em embed fieldset figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol option p param pre q s samp script section select small source span strike strong style sub summary sup table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split())
 SLOT_WORDS = frozenset("date name user username first last product company author email mail topic title link url city country version order number code error site sitename address phone subject id text content firstname lastname".split())
 
@@ -139,6 +181,12 @@ MARKERS = frozenset("edit edited update updated solved closed duplicate note not
 SHOWN = re.compile(r"\s*(?:tags?|elements?|components?|nodes?|attributes?|placeholders?|blocks?|sections?|syntax|types?)\b", re.I)
 
 
+WORD = re.compile(r"[^\W\d_]+")
+WRITE_HERE = re.compile(r"(?:text|content|answer|question|post)s?\b.{0,14}\bhere\b", re.S)
+#: Ten keys of the home row, which a mash of them with 3 % of others must have somewhere.
+HOME_RUN = re.compile(r"(?:[asdfghjkl;]\s*){10}")
+
+
 def said(text: str) -> str:
     """The prose of a text: no code, no lines quoted from elsewhere."""
     return CODE.sub("\n", text.replace("\r\n", "\n").replace("​", ""))
@@ -147,10 +195,15 @@ def said(text: str) -> str:
 def rest(prose: str) -> str:
     """What a text says apart from the furniture of its page, in one line."""
     t = html.unescape(prose).replace("\xa0", " ")
-    t = re.sub(r"<title>.*?</title>", " ", t, flags=re.S | re.I)
-    t = TAGS.sub("\n", LINK.sub(r"\1", t))
+    if "<" in t:
+        t = re.sub(r"<title>.*?</title>", " ", t, flags=re.S | re.I)
+    t = LINK.sub(r"\1", t)
+    if "<" in t:
+        t = TAGS.sub("\n", t)
     t = FURNITURE.sub("", t)
     t = re.sub(r"[ \t\n]+", " ", t).strip()
+    if not has_sign(t.lower(), FRAME_SIGNS):
+        return t
     return re.sub(r"^(?:skip to main content|[☰≡] ?menu|log ?in sign up|[\w.-]+ – questions and answers)\s+|\s+(?:back to (?:top|all \w+)|help · contact · terms|home \| questions \| tags(?: \| users)?|© \d{4}.{0,40}|ray [0-9a-f]{6,})$", "", t, flags=re.I)
 
 
@@ -167,6 +220,8 @@ def opened(m: re.Match) -> str:
 
 def slots(prose: str) -> bool:
     """True if the prose has a slot or label key that was never filled."""
+    if not MARKS.search(prose):
+        return False
     t = re.sub(r"\s+", " ", prose.replace("\xa0", " ").replace("&nbsp;", " "))
     t = SLOT_LINK.sub(opened, t)
     if not MARKS.search(t):
@@ -198,11 +253,15 @@ def filler(prose: str) -> bool:
     t = html.unescape(prose).replace("\xa0", " ")
     t = TAGS.sub("\n\n", LINK.sub(" ", t))
     bare = QUOTED.sub(" ", t)
-    if TODO.search(bare) or FILLER.search(re.sub(r"[ \t\n]+", " ", bare)):
+    low = bare.lower()
+    if (has_sign(low, FILLER_SIGNS) or "here" in low and WRITE_HERE.search(low)) and (TODO.search(bare) or FILLER.search(re.sub(r"[ \t\n]+", " ", bare))):
         return True
+    latin_words = sum(w in LATIN and w not in SHORT_LATIN for w in WORD.findall(low))
+    if latin_words < 3 and not any(low.count(x) > 1 for x in ECHOED) and not HOME_RUN.search(low):
+        return False
     for p in [*re.split(r"\n\s*\n", bare), bare]:
-        words = re.findall(r"[^\W\d_]+", p.lower())
-        if len(words) >= 5:
+        words = WORD.findall(p.lower())
+        if latin_words >= 3 and len(words) >= 5:
             latin = sum(w in LATIN for w in words)
             if latin >= 0.7 * len(words) and sum(w in LATIN and w not in SHORT_LATIN for w in words) >= 0.5 * len(words):
                 return True
@@ -216,12 +275,14 @@ def filler(prose: str) -> bool:
 
 def message(r: str) -> bool:
     """True if the rest of a text is a message of a site or a notice, and nothing else worth the name."""
-    if not r:
+    low = r.lower()
+    likely = [p for p, signs in zip(STRONG, SIGNS) if has_sign(low, signs)]
+    if not likely:
         return False
     if r.startswith("{") and STRONG[3].search(r):
         return True
     bare = re.sub(r"\s+", " ", TRACE.sub(" ", QUOTED.sub(" ", r))).strip()
-    hits = [m for p in STRONG if (m := p.search(bare))]
+    hits = [m for p in likely if (m := p.search(bare))]
     if not hits:
         return False
     parts, at = [], 0
@@ -234,8 +295,8 @@ def message(r: str) -> bool:
     if not hits:
         return False
     if len(bare) > LONG_CHARS and hits[0].start() >= SHORT_CHARS:
-        return sum(len(s) for _, _, s, asked in parts if not asked and any(p.search(s) for p in STRONG)) >= 0.5 * len(bare)
-    about = sum(len(s) for _, _, s, asked in parts if not asked and (any(p.search(s) for p in STRONG) or len(HINT.findall(s)) >= 2))
+        return sum(len(s) for _, _, s, asked in parts if not asked and any(p.search(s) for p in likely)) >= 0.5 * len(bare)
+    about = sum(len(s) for _, _, s, asked in parts if not asked and (any(p.search(s) for p in likely) or len(HINT.findall(s)) >= 2))
     about = max(about, max(m.end() - m.start() for m in hits))
     talk = sum(len(s) for _, _, s, asked in parts if asked)
     return about >= TALK_WEIGHT * talk and (len(bare) <= 160 or about >= 0.4 * len(bare) or hits[0].start() < 5 and len(bare) < 300)
@@ -243,59 +304,146 @@ def message(r: str) -> bool:
 
 def asks(r: str) -> bool:
     """Somebody writes about such a thing: in the first person, or with a question that isn't put to the reader."""
-    return bool(ASKS.search(r))
+    return bool(ASKS.search(r)) or r.rstrip().endswith("?") and not TO_READER.search(r)
+
+
+ODD = re.compile(r"[\d/_]")
+
+
+def template(r: str) -> str:
+    """What a text says, up to what differs between copies of a message: numbers, identifiers, paths and addresses."""
+    return " ".join("#" if ODD.search(w) else w for w in r.lower().split())
 
 
 def judge(text: str) -> tuple[int, str]:
-    """(2: residue, 1: hints of it, 0: none; the rest of the text up to numbers, for counting copies; empty for texts with much to say)."""
+    """(2: residue by its own wording, 1: hints of it, 0: none; what the text says up to names and numbers).
+
+    The second is empty for slots and filler, which need no other evidence, and for texts in which somebody asks or tells something."""
     prose = said(text)
     if not re.search(r"\w", prose):
         return 0, ""
-    r = rest(prose)
     if slots(prose) or filler(prose):
         return 2, ""
+    r = rest(prose)
     if message(r):
-        return 2, ""
-    hint = hints(r, bool(LINK.search(prose)))
-    return int(hint), re.sub(r"[0-9a-f]{6,}|\d+", "#", r.lower()) if hint else ""
+        return 2, template(r)
+    linked = bool(LINK.search(prose))
+    if hints(r, linked):
+        return 1, template(r)
+    return 0, "" if linked or asks(r) else template(r)
 
 
 def hints(r: str, linked: bool) -> bool:
     """True if most of a rest of any size is sentences with words of messages, in the languages known here, and nothing is asked or told in the first person.
 
     A short text with a link says where something is; in a longer one a link is as likely part of a page."""
-    if linked and len(r) <= SHORT_CHARS or len(set(x.lower() for x in HINT.findall(r)) | set(x.lower() for x in HINT_ELSEWHERE.findall(r))) < 2:
+    short = len(r) <= SHORT_CHARS
+    if short and (linked or asks(r)):
         return False
+    low = r.lower()
+    known = HINT_ELSEWHERE if not low.isascii() or has_sign(low, ELSEWHERE_SIGNS) else None
+    found = {x.lower() for x in HINT.findall(r)}
+    if len(found) < 2 and (known is None or len(found | {x.lower() for x in known.findall(r)}) < 2):
+        return False
+    if short:
+        return True
     parts = [s for s in BREAK.split(TRACE.sub(" ", r)) if re.search(r"\w", s)]
-    if len(r) <= SHORT_CHARS:
-        return not asks(r)
-    talk = sum(len(s) for s in parts if asks(s))
-    about = sum(len(s) for s in parts if (HINT.search(s) or HINT_ELSEWHERE.search(s)) and not asks(s))
-    return about >= 0.5 * sum(map(len, parts)) and about >= TALK_WEIGHT * talk
+    total, about, talk = sum(map(len, parts)), 0, 0
+    for s in parts:
+        if asks(s):
+            talk += len(s)
+            if TALK_WEIGHT * talk > total - talk:
+                return False
+    left = total - talk
+    for s in parts:
+        if not asks(s):
+            if HINT.search(s) or known is not None and known.search(s):
+                about += len(s)
+            else:
+                left -= len(s)
+                if left < max(0.5 * total, TALK_WEIGHT * talk):
+                    return False
+    return about >= 0.5 * total and about >= TALK_WEIGHT * talk
+
+
+def terms(said: str) -> set[str]:
+    return {w for w in WORD.findall(said) if len(w) > 3 or w > "\u2e80"}
+
+
+def evidence(docs: DataFrame, copies: int = COPIES, hosts: int = HOSTS) -> DataFrame:
+    """(doc_id, kind, wording, n_copies, n_hosts, apart, score) of every record that its wording, or its copies and the words of messages in this corpus, make suspect.
+
+    kind: 'placeholder' (slots, filler; no other evidence is needed, score NEEDED) or 'message'. wording: READS, HINTS, also for texts whose terms the corpus
+    uses in messages above all. apart: the title and tags of the question are about something else, or there are none. Records of one host say the same
+    as often as they like: copies count with ``hosts`` of them. Null, empty and blank texts are never suspect; docs: doc_id, question_id, title, text, source, tags (optional)."""
 
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[str, list[int]] = {}
+        names = ["doc_id", "level", "said", "term", "n", "m"]
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
-def residue(docs: DataFrame, copies: int = COPIES, hosts: int = HOSTS) -> DataFrame:
-    """(doc_id): records that are left-overs instead of posts.
-
-    docs: doc_id, question_id, title, text, source. Null, empty and blank texts are never residue. Texts on which the detectors decide need no other row. Those
-    with mere hints count if at least ``copies`` records of ``hosts`` sources say the same up to numbers and none of its terms is in the title of the question.
-    """
+        def flush() -> pa.RecordBatch:
+            none = [None] * len(count)
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, list(count), [v[0] for v in count.values()], [v[1] for v in count.values()]], kinds)], names)
+            count.clear()
+            return out
 
-    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [judge(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.string())], ["doc_id", "level", "said"])
+            for level, said in found:
+                if said:
+                    for w in terms(said):
+                        c = count.setdefault(w, [0, 0])
+                        c[0] += 1
+                        c[1] += level == 2
+            none = [None] * b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip([[f[0] for f in found], [f[1] for f in found], none, none, none], kinds[1:]))], names)
+            if len(count) > HELD_TERMS:
+                yield flush()
+        if count:
+            yield flush()
 
     texts = docs.select("doc_id", "text").where("text is not null and trim(text) != ''")
-    seen = write_table(texts.mapInArrow(detect, "doc_id bigint, level int, said string").where("level > 0"), "residue")
-    hints = seen.where("level = 1").select("doc_id", "said")
-    parts = docs.select("doc_id", "source", F.coalesce("question_id", "doc_id").alias("question"))
-    known = hints.join(parts, "doc_id")
-    same = known.groupBy("said").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("n_hosts")).where((F.col("n") >= copies) & (F.col("n_hosts") >= hosts))
-    titles = docs.where("title is not null").select(F.col("doc_id").alias("question"), F.lower("title").alias("_title"))
+    raw = texts.mapInArrow(detect, "doc_id bigint, level int, said string, term string, n bigint, m bigint")
+    told = F.col("said") != ""
+    seen = write_table(raw.where((F.col("level") > 0) | told | F.col("term").isNotNull()).withColumns({"key": F.when(told, F.xxhash64("said")), "said": F.when(F.col("level") > 0, F.col("said"))}), "residue")
+    hosts_of = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.coalesce("question_id", "doc_id").alias("question"))
+    rows = seen.where("key is not null").select("doc_id", "level", "key", "said").join(hosts_of, "doc_id")
+    same = rows.groupBy("key").agg(F.count("*").alias("n_copies"), F.count_distinct("host").alias("n_hosts"), F.max("level").alias("most"), F.min("doc_id").alias("first"))
+    same = write_table(same.where((F.col("most") > 0) | (F.col("n_copies") >= copies) & (F.col("n_hosts") >= hosts)), "same")
+
+    # Wording that no pattern knows: texts on several hosts, of terms that are typical of this corpus's messages.
+    count = seen.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where((F.col("m") >= TERM_RECORDS) & (F.col("m") >= TERM_SHARE * F.col("n")))
+    typical = frozenset(r.term for r in count.orderBy(F.desc("m"), "term").limit(TERMS).collect())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [judge(t)[1] for t in b.column(1).to_pylist()]
+            ok = [len(k := terms(x)) > 0 and len(k & typical) >= max(2, 0.5 * len(k)) for x in said]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said)], ["key", "said"]).filter(pa.array(ok))
+
+    unknown = same.where("most = 0").select("key", F.col("first").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id").select("key", "text")
+    learned = unknown.mapInArrow(compare, "key bigint, said string")
+    by_words = rows.where("level = 0").drop("said").join(learned, "key").select("doc_id", F.lit(1).alias("level"), "key", "said", "host", "question")
+    suspect = rows.where("level > 0").unionByName(by_words).join(same.select("key", "n_copies", "n_hosts"), "key")
+
+    about = F.concat_ws(" ", "title", "tags") if "tags" in docs.columns else F.col("title")
+    titles = docs.where("title is not null").select(F.col("doc_id").alias("question"), F.lower(about).alias("_title"))
     words = lambda c: F.filter(F.split(F.regexp_replace(c, r"[^\p{L}]+", " "), " "), lambda w: F.length(w) > 3)
-    suspect = known.join(same.select("said"), "said", "left_semi").join(titles, "question", "left")
-    shared, of = F.array_intersect(words(F.col("said")), words(F.col("_title"))), F.array_distinct(words(F.col("_title")))
-    chance = F.when(F.length("said") > SHORT_CHARS, F.size(of) / 2).otherwise(F.lit(0.0))  # a page has words that any title may have
-    apart = suspect.where(F.col("_title").isNull() | (F.size(shared) <= chance))
-    return seen.where("level = 2").select("doc_id").unionByName(apart.select("doc_id"))
+    joined = suspect.join(titles, "question", "left")
+    shared, of = F.size(F.array_intersect(words(F.col("said")), words(F.col("_title")))), F.size(F.array_distinct(words(F.col("_title"))))
+    chance = F.when((F.col("level") == 2) | (F.length("said") > SHORT_CHARS), of / 2).otherwise(F.lit(0.0))  # a page has words that any title may have
+    apart = F.col("_title").isNull() | (shared <= chance)
+    wording = F.when(F.col("level") == 2, READS).otherwise(HINTS)
+    many = (F.col("n_copies") >= copies) & (F.col("n_hosts") >= hosts)
+    score = wording + F.when(many, 1).otherwise(0) + F.when(F.col("n_hosts") >= hosts, 1).otherwise(0) + apart.cast("int")
+    messages = joined.select("doc_id", F.lit("message").alias("kind"), wording.alias("wording"), "n_copies", "n_hosts", apart.alias("apart"), score.alias("score"))
+    alone = seen.where("level = 2 and key is null").select("doc_id", F.lit("placeholder").alias("kind"), F.lit(READS).alias("wording"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(1).cast("bigint").alias("n_hosts"), F.lit(True).alias("apart"), F.lit(NEEDED).alias("score"))
+    return alone.unionByName(messages)
+
+
+def residue(docs: DataFrame, copies: int = COPIES, hosts: int = HOSTS) -> DataFrame:
+    """(doc_id): records that are left-overs instead of posts: those whose combined evidence reaches NEEDED.
+
+    docs: doc_id, question_id, title, text, source, tags (optional). Null, empty and blank texts are never residue."""
+    return evidence(docs, copies, hosts).where(F.col("score") >= NEEDED).select("doc_id")
