@@ -204,11 +204,11 @@ def stop(iteration: int, change: float, settings: Settings) -> bool:
     return iteration >= 2 and (not np.isfinite(change) or change < settings.convergence_threshold)
 
 
-def fit(prefs: DataFrame, settings: Settings, previous_y: DataFrame | None = None, keep=write_table, seed: int = 1, done: int = 0, drop=None) -> Model:
+def fit(prefs: DataFrame, settings: Settings, previous_y: DataFrame | None = None, keep=write_table, seed: int = 1, done: int = 0, drop=None, each=None) -> Model:
     """Alternates until the sampled estimates settle. Each half-step is written to the shared folder, so that plans stay short and a lost executor costs one half-step.
 
     ``keep(df, name)`` writes a step and gives it back read; one that finds steps already written resumes a run, with ``done`` the last whole iteration of it.
-    ``drop(name)`` is told which steps of two iterations before are no longer needed."""
+    ``drop(name)`` is told which steps of two iterations before are no longer needed. ``each(n, x, y)`` sees the factors of every iteration."""
     mine: dict[str, DataFrame] = {}
     if keep is write_table and drop is None:
         keep = lambda df, name: mine.setdefault(name, write_table(df, name))
@@ -236,6 +236,8 @@ def fit(prefs: DataFrame, settings: Settings, previous_y: DataFrame | None = Non
             change = change if empty else float("nan") if value is None else value
         sample = now
         changes.append(change)
+        if each is not None:
+            each(n, x, y)
         if drop is not None and n > 2:
             for side in "xys":
                 drop(f"{side}-{n - 2}")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def of_partition(x: DataFrame, part: int | None, parts: int) -> DataFrame:
-    """The rows of X of one serving partition (floor-mod of the id); all of them without partitions."""
-    return x if part is None or parts <= 1 else x.where(F.pmod(F.col("id"), F.lit(parts)) == part)
+def of_partition(x: DataFrame, part: int | None, parts: int, tags: DataFrame | None = None) -> DataFrame:
+    """The rows of a model of one serving partition (floor-mod of the id), without those of ``tags`` (id); all of them without partitions."""
+    rows = x if part is None or parts <= 1 else x.where(F.pmod(F.col("id"), F.lit(parts)) == part)
+    return rows if tags is None else rows.join(tags.select("id"), "id", "left_anti")
 
 
 def clusters(members: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Hashable, Iterable
 from concurrent.futures import ThreadPoolExecutor, as_completed
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from enum import Enum
+from graphlib import CycleError, TopologicalSorter
 from typing import TypeVar
 
+from pyspark import inheritable_thread_target
+
 T = TypeVar("T", bound=Hashable)
 
 #: Seconds that the next generation's inbound folder must have existed before its predecessor is run.
@@ -57,55 +61,48 @@ def barrier(next_opened: float, uploads: dict[str, float], now: float, wait: flo
     return Barrier(now > next_opened + wait and len(stale) == len(unfinished), stale)
 
 
-@dataclass
-class Trigger:
-    """Decides every minute whether a generation is due: forced (always so where there is none yet), by time or by data."""
+@dataclass(frozen=True)
+class Clock:
+    """When generations were and are due; ``due`` gives the next one. Seconds."""
 
-    every_min: float = 1440
+    every: float = 1440 * 60
     data_mb: int | None = 1000
-    first_min: float | None = None
-    last: float = 0.0
-    due_at: float | None = None
-    forced: bool = False
-
-    def start(self, now: float) -> None:
-        self.last = now
-        self.due_at = now + 60 * (self.every_min if self.first_min is None else self.first_min)
-
-    def check(self, now: float, inbound_bytes: int, any_generation: bool) -> bool:
-        if self.due_at is None:
-            self.start(now)
-        forced = self.forced or not any_generation
-        by_data = self.data_mb is not None and inbound_bytes // 1_000_000 >= self.data_mb
-        if not (forced or now >= self.due_at or by_data):
-            return False
-        self.forced = False
-        self.last = self.due_at if now > self.due_at else now
-        self.due_at = self.last + 60 * self.every_min
-        return True
-
-    def finished(self, now: float) -> None:
-        """A run that took longer than the interval is followed by the next at once."""
-        if self.due_at is not None and now > self.due_at:
-            self.due_at = now
+    due_at: float = 0.0
+
+
+def clock(now: float, every_min: float = 1440, data_mb: int | None = 1000, first_min: float | None = None) -> Clock:
+    return Clock(60 * every_min, data_mb, now + 60 * (every_min if first_min is None else first_min))
+
+
+def due(c: Clock, now: float, inbound_bytes: int, any_generation: bool, forced: bool = False) -> tuple[bool, Clock]:
+    """(whether a generation is to be run, the clock after that): when forced or there is none yet, by time or by data. Runs that are late don't shift those after them."""
+    late = now >= c.due_at
+    full = c.data_mb is not None and inbound_bytes // 1_000_000 >= c.data_mb
+    if not (late or full or forced or not any_generation):
+        return False, c
+    return True, replace(c, due_at=(c.due_at if now > c.due_at else now) + c.every)
+
+
+def caught_up(c: Clock, now: float) -> Clock:
+    """After a run that took longer than the interval the next one is due at once, and only once."""
+    return replace(c, due_at=now) if now > c.due_at else c
 
 
 def waves(steps: Iterable[T], after: Iterable[tuple[T, T]]) -> list[list[T]]:
     """Steps in waves: each step comes after all it depends on. after: (step, what it needs). A cycle is an error."""
-    needs: dict[T, set[T]] = {s: set() for s in steps}
+    order: TopologicalSorter = TopologicalSorter()
+    for s in steps:
+        order.add(s)
     for step, need in after:
-        needs.setdefault(step, set()).add(need)
-        needs.setdefault(need, set())
-    out: list[list[T]] = []
-    while needs:
-        free = [s for s, n in needs.items() if not n]
-        if not free:
-            raise ValueError(f"steps depend on each other: {sorted(map(str, needs))}")
-        out.append(free)
-        for s in free:
-            del needs[s]
-        for n in needs.values():
-            n.difference_update(free)
+        order.add(step, need)
+    out = []
+    try:
+        order.prepare()
+    except CycleError as e:
+        raise ValueError(f"steps depend on each other: {e.args[1]}") from e
+    while order.is_active():
+        out.append(list(order.get_ready()))
+        order.done(*out[-1])
     return out
 
 
@@ -128,35 +125,55 @@ def roll_up(states: Iterable[Status]) -> Status:
     return Status.COMPLETED
 
 
+class Interrupted(Exception):
+    """Somebody asked for the run to end."""
+
+
 @dataclass
 class Job:
-    """Named steps, run in waves with a thread for each step of a wave; the first failure ends the job."""
+    """Named steps, run in waves with a thread for each step of a wave; the first failure ends the job. ``changed`` is told of every change of state, ``stop`` is asked before each wave."""
 
     steps: dict[str, Callable[[], None]]
     after: list[tuple[str, str]] = field(default_factory=list)
     status: dict[str, Status] = field(default_factory=dict)
+    changed: Callable[[dict[str, Status]], None] = lambda status: None
+    stop: Callable[[], bool] = lambda: False
+
+    def _set(self, step: str, state: Status) -> None:
+        self.status[step] = state
+        self.changed(dict(self.status))
+
+    def _cancel(self) -> None:
+        for s, state in list(self.status.items()):
+            if state is Status.PENDING:
+                self._set(s, Status.CANCELLED)
 
     def run(self) -> Status:
         self.status = {s: Status.PENDING for s in self.steps}
         for wave in waves(self.steps, self.after):
+            if self.stop():
+                self._cancel()
+                raise Interrupted
             with ThreadPoolExecutor(len(wave)) as pool:
                 running = {}
                 for s in wave:
-                    self.status[s] = Status.RUNNING
-                    running[pool.submit(self.steps[s])] = s
+                    self._set(s, Status.RUNNING)
+                    running[pool.submit(inheritable_thread_target(self.steps[s]))] = s
                 failure = None
                 for f in as_completed(running):
                     error = f.exception()
-                    self.status[running[f]] = Status.FAILED if error else Status.COMPLETED
+                    self._set(running[f], Status.FAILED if error else Status.COMPLETED)
                     failure = failure or error
                 if failure:
-                    for s, state in self.status.items():
-                        if state is Status.PENDING:
-                            self.status[s] = Status.CANCELLED
+                    self._cancel()
                     raise failure
         return roll_up(self.status.values())
 
 
+def status_json(status: dict[str, Status]) -> str:
+    return json.dumps({"status": roll_up(status.values()).value, "steps": {k: v.value for k, v in status.items()}})
+
+
 def minutes(text: str) -> int:
     """``90``, ``90m``, ``2h`` or ``1d`` as minutes."""
     factors = {"m": 1, "h": 60, "d": 1440}
@@ -167,11 +184,3 @@ def megabytes(text: str) -> int:
     """``500``, ``500m``, ``2g`` or ``1t`` as decimal megabytes."""
     factors = {"m": 1, "g": 1000, "t": 1_000_000}
     return int(text) if text[-1].isdigit() else int(text[:-1]) * factors[text[-1]]
-
-
-def overlap(expected: list[int], actual: list[int]) -> float:
-    """Agreement of two rankings: 1 when equal, early places weigh most; 0 for an empty actual one against anything."""
-    place = {x: i for i, x in enumerate(expected)}
-    most = sum(4.0 ** -(i + 1) for i in range(len(actual)))
-    got = sum(2.0 ** -(i + 1) * 2.0 ** -(place[x] + 1) for i, x in enumerate(actual) if x in place)
-    return got / most if most else float(not expected)

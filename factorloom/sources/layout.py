@@ -22,9 +22,6 @@ class Layout:
         """Generations are padded to ten digits: the order of names is that of numbers."""
         return f"{self.home}/{number:010d}" + (f"/{part}" if part else "")
 
-    def iteration(self, number: int, n: int, side: str) -> str:
-        return self.generation(number, f"{ITERATIONS}/{n}/{side}")
-
     @staticmethod
     def clusters(kind: str) -> str:
         return f"{kind}Clusters"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,6 +56,15 @@ class Store:
         finally:
             out.close()
 
+    def read(self, path: str) -> bytes:
+        """A small file, as a whole."""
+        fs, p = self._at(path)
+        source = fs.open(p)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+        finally:
+            source.close()
+
     def claim(self, path: str) -> bool:
         """Makes an empty file; False if it is there already. Of several callers one gets True."""
         fs, p = self._at(path)
@@ -99,7 +107,3 @@ class Store:
         """Lines of a text file in any codec that Hadoop knows by its extension. For small files: they come to the driver one by one."""
         for row in self.spark.read.text(path).toLocalIterator():
             yield row.value
-
-
-def local_free_bytes(path: str) -> int:
-    return shutil.disk_usage(path).free

@@ -76,3 +76,5 @@ def test_loop_stops_and_has_rank(spark):
 def test_stop_rule():
     s = Settings()
     assert not als.stop(1, 0.0, s) and als.stop(2, 0.0005, s) and not als.stop(2, 0.01, s) and als.stop(2, float("nan"), s) and als.stop(30, 1.0, s)
+    many = Settings(max_iterations=0)
+    assert not als.stop(1, 0.0, many) and not als.stop(500, 0.1, many) and als.stop(2, 0.0005, many) and als.stop(1, 1.0, Settings(max_iterations=1))

@@ -6,11 +6,13 @@ import pytest
 from factorloom.config import Settings
 from factorloom.plans import generation as g
 from factorloom.plans import model
-from factorloom.plans.schedule import overlap
+from factorloom.plans import schedule
 from factorloom.sources.layout import Layout
 from factorloom.sources.store import Store
 from factorloom.sources.writer import EventWriter
 
+from .overlap import overlap
+
 
 def write(path, lines):
     path.mkdir(parents=True, exist_ok=True)
@@ -138,7 +140,7 @@ def test_writer(spark, tmp_path):
     w.append(1, 10, 2.5)
     w.append("teen", 10)
     w.remove(1, 10)  # the third: written
-    assert w.lines == []
+    assert w.count == 0 and not list(w.spool.iterdir())
     for bad in (lambda: w.append("a", "b"), lambda: w.append('a"', 1), lambda: w.append(1, "x,y"), lambda: w.append(1, 1, float("nan"))):
         with pytest.raises(ValueError):
             bad()
@@ -147,6 +149,15 @@ def test_writer(spark, tmp_path):
     w.check()
     lines = [r.value for r in spark.read.text(str(tmp_path / "w" / "0000000000" / "inbound")).collect()]
     assert sorted(lines) == ['"teen",10,1.0', "1,10,", "1,10,2.5", "2,11,1.0"] and w.generation == 1
+    w.append(5, 5)
+    left = next(w.spool.iterdir())
+    left.write_text(left.read_text() + "6,")  # the process ends here
+    again = EventWriter(spark, str(tmp_path), "w", spool=str(w.spool))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "w" / "0000000001" / "inbound")).collect()]
+    assert lines == ["5,5,1.0"] and not list(w.spool.iterdir()) and again.limit == 10_000
+    again.append(7, 7)
+    again.close()
+    assert len(list((tmp_path / "w" / "0000000001" / "inbound").glob("*.gz"))) == 2
 
 
 def test_one_process_at_a_time(spark, tmp_path):
@@ -156,3 +167,59 @@ def test_one_process_at_a_time(spark, tmp_path):
         with g.alone(store, at, poll=0, stale=-1):  # a lock as old as this one is taken over
             pass
     assert store.claim(f"{at.home}/sys/running")
+
+
+def test_lost_lock_is_not_deleted(spark, tmp_path):
+    store, at = Store(spark), Layout(str(tmp_path), "k")
+    with g.alone(store, at) as mine:
+        assert mine()
+        store.write(f"{at.home}/sys/running", b"another")
+        assert not mine()
+    assert store.read(f"{at.home}/sys/running") == b"another"
+
+
+def test_states_and_interruption(spark, root, tmp_path):
+    from factorloom.plans import cli
+
+    path, settings = root
+    state = g.Store(spark).read(g.status_path(Layout(str(path), "a"), 0)).decode()
+    assert '"status": "COMPLETED"' in state and '"userClusters": "COMPLETED"' in state
+    write(tmp_path / "i" / "0000000000" / "inbound", ["1,2", "2,1"])
+    at = Layout(str(tmp_path), "i")
+    assert cli.control(spark, cli.arguments([str(tmp_path), "i", "--interrupt"]))
+    with pytest.raises(schedule.Interrupted):
+        g.run_next(spark, str(tmp_path), "i", settings, wait=0)
+    store = Store(spark)
+    assert not store.exists(g.control_path(at, "interrupt")) and not store.exists(f"{at.home}/sys/running")
+    assert cli.control(spark, cli.arguments([str(tmp_path), "i", "--force", "--status"])) and store.exists(g.control_path(at, "force"))
+    assert not cli.control(spark, cli.arguments([str(tmp_path), "i"]))
+
+
+def test_lost_input_is_an_error(spark, tmp_path):
+    write(tmp_path / "m" / "0000000001" / "inbound", ["1,2"])
+    with pytest.raises(ValueError, match="has no input"):
+        g.Generation(spark, str(tmp_path), "m", 1, 0, Settings()).run()
+
+
+def test_refresher(spark, root):
+    seen = []
+    r = model.Refresher(spark, str(root[0]), "b", taken=lambda new, old: seen.append((new.generation, old)))
+    assert r.refresh() and not r.refresh() and seen == [(0, None)]
+    with r._busy:
+        assert not r.refresh()
+    current = spark.createDataFrame([(1,), (2,), (999_999,)], "id bigint")
+    assert sorted(x.id for x in r.kept(current, "x", current.where("id < 0")).collect()) == [1, 2]
+    r.settings = Settings(remove_not_updated=False)
+    assert r.kept(current, "x", current.where("id < 0")).count() == 3
+    r.start(every=0.05)
+    r.stop()
+
+
+def test_clusters_follow_the_iterations(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    prefs = spark.createDataFrame([(u, i, 1.0 + (u * i) % 3) for u in range(20) for i in range(15) if rng.random() < 0.5], "user_id bigint, item_id bigint, value double")
+    run = g.Generation(spark, str(tmp_path), "f", 0, None, Settings(features=2, max_iterations=4, convergence_modulus=2, convergence_threshold=1e-9, user_clusters=2, item_clusters=2))
+    none = spark.createDataFrame([], "id bigint")
+    assert run.fit(prefs, (none, none)).iterations == 4
+    at = tmp_path / "f" / "0000000000" / "tmp" / "iterations"
+    assert sorted(p.name for p in at.glob("user-*")) == ["user-2", "user-3", "user-4"] and 1 <= run.centroids["item"].count() <= 2

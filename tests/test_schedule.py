@@ -4,6 +4,8 @@ from factorloom.config import Settings, from_properties
 from factorloom.plans import schedule as s
 from factorloom.plans.cli import arguments
 
+from .overlap import overlap
+
 
 @pytest.mark.parametrize(
     "there,done,want",
@@ -28,16 +30,20 @@ def test_barrier():
     assert old.ready and old.stale == ("a.inprogress", "b_COPYING_")
 
 
-def test_trigger():
-    t = s.Trigger(every_min=10, data_mb=5)
-    t.start(0)
-    assert t.check(1, 0, any_generation=False)
-    assert not t.check(2, 4_999_999, True) and t.check(2, 5_000_000, True)
-    assert not t.check(600, 0, True) and t.check(610, 0, True) and t.due_at == 602 + 600
-    t.finished(5000)
-    assert t.check(5000, 0, True)
-    t.forced = True
-    assert t.check(5001, 0, True) and not t.check(5002, 0, True)
+def test_due():
+    c = s.clock(0, every_min=10, data_mb=5)
+    now, c = s.due(c, 1, 0, any_generation=False)
+    assert now
+    assert not s.due(c, 2, 4_999_999, True)[0]
+    now, c = s.due(c, 2, 5_000_000, True)
+    assert now and c.due_at == 602
+    assert not s.due(c, 600, 0, True)[0]
+    now, c = s.due(c, 610, 0, True)
+    assert now and c.due_at == 602 + 600
+    c = s.caught_up(c, 5000)
+    now, c = s.due(c, 5000, 0, True)
+    assert now
+    assert s.due(c, 5001, 0, True, forced=True)[0] and not s.due(c, 5002, 0, True)[0]
 
 
 def test_waves():
@@ -58,6 +64,12 @@ def test_job():
     with pytest.raises(RuntimeError):
         bad.run()
     assert bad.status == {"a": s.Status.FAILED, "b": s.Status.CANCELLED}
+    told = []
+    stopped = s.Job({"a": lambda: None, "b": lambda: None}, [("b", "a")], changed=told.append, stop=lambda: len(told) > 0)
+    with pytest.raises(s.Interrupted):
+        stopped.run()
+    assert stopped.status == {"a": s.Status.COMPLETED, "b": s.Status.CANCELLED} and told[-1] == stopped.status
+    assert s.status_json(told[-1]) == '{"status": "CANCELLED", "steps": {"a": "COMPLETED", "b": "CANCELLED"}}'
 
 
 def test_roll_up():
@@ -77,4 +89,4 @@ def test_units_and_settings():
 
 
 def test_overlap():
-    assert s.overlap([1, 2, 3], [1, 2, 3]) == 1 and s.overlap([1, 2], [3, 4]) == 0 and 0.8 < s.overlap([1, 2, 3], [2, 1, 3]) < 1
+    assert overlap([1, 2, 3], [1, 2, 3]) == 1 and overlap([1, 2], [3, 4]) == 0 and 0.8 < overlap([1, 2, 3], [2, 1, 3]) < 1
