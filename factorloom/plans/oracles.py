@@ -39,9 +39,9 @@ y AS (SELECT DISTINCT item_id, (item_id * 7 % 101)::DOUBLE / 101.0::DOUBLE + 0.1
 g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM y)"""
 
 
-def solve(weight: str, target: str, gram: int) -> str:
-    return f"""WITH {K2}, w AS (SELECT user_id, {gram} * any_value(g.aa) + sum({weight} * a * a) + 0.1::DOUBLE * count(*) AS aa, {gram} * any_value(g.ab) + sum({weight} * a * b) AS ab,
- {gram} * any_value(g.bb) + sum({weight} * b * b) + 0.1::DOUBLE * count(*) AS bb, sum({target} * a) AS ta, sum({target} * b) AS tb FROM r JOIN y USING (item_id), g GROUP BY user_id),
+def solve(weight: str, target: str, gram: int, lam: float = 0.1) -> str:
+    return f"""WITH {K2}, w AS (SELECT user_id, {gram} * any_value(g.aa) + sum({weight} * a * a) + {lam}::DOUBLE * count(*) AS aa, {gram} * any_value(g.ab) + sum({weight} * a * b) AS ab,
+ {gram} * any_value(g.bb) + sum({weight} * b * b) + {lam}::DOUBLE * count(*) AS bb, sum({target} * a) AS ta, sum({target} * b) AS tb FROM r JOIN y USING (item_id), g GROUP BY user_id),
 x AS (SELECT user_id AS id, [(bb * ta - ab * tb) / (aa * bb - ab * ab), (aa * tb - ab * ta) / (aa * bb - ab * ab)] AS f FROM w) {cells('x', 'id', 'f', 2)}"""
 
 
@@ -75,6 +75,10 @@ reasons AS (SELECT *, CASE WHEN n < 2 OR n > 4 THEN 'column_count' WHEN (ut AND
  WHEN ut AND it THEN 'both_tags' WHEN NOT ut AND (NOT regexp_full_match(u, '{ID}') OR try_cast(u AS BIGINT) IS NULL) THEN 'user_id' WHEN NOT it AND (NOT regexp_full_match(i, '{ID}') OR try_cast(i AS BIGINT) IS NULL) THEN 'item_id'
  WHEN n > 2 AND v <> '' AND NOT (regexp_full_match(v, '{NUM}') AND coalesce(abs(try_cast(v AS DOUBLE)) < 3.4028235677973366e38, false)) THEN 'value' END AS reason FROM g)"""
 
+# Every user gets ten items, or all that it doesn't know, none that it knows, best first.
+RECOMMENDED = f"""WITH {PREFS}, k AS (SELECT user_id AS id, count(DISTINCT item_id) AS known FROM p GROUP BY user_id)
+SELECT id, least(10, (SELECT count(DISTINCT item_id) FROM p) - known)::BIGINT AS n_recs, 0::BIGINT AS n_known, true AS in_order FROM k WHERE known < (SELECT count(DISTINCT item_id) FROM p)"""
+
 ORACLES = {
     "parse_events": f"WITH {PARSED} SELECT line_id, uid AS user_id, iid AS item_id, CASE WHEN NOT del THEN round(val::DOUBLE, 4) + 0.0 END AS pref_value, del AS is_delete, ut AS user_is_tag, it AS item_is_tag FROM parsed WHERE NOT bad",
     "bad_lines": f"WITH {PARSED} SELECT count(*) AS n_lines, count(*) FILTER (bad) AS n_bad FROM parsed",
@@ -103,6 +107,12 @@ ORACLES = {
     "als_row_solve_k2": solve(CONF, TARGET, 1),
     "als_reconstruct_k2": solve("0.0::DOUBLE", "r", 1),
     "als_observed_only_k2": solve(f"(1.0 + {CONF})", TARGET, 0),
+    "als_row_solve_alpha2": solve("2.0::DOUBLE * abs(r)", "(CASE WHEN r > 0 THEN 1.0::DOUBLE + 2.0::DOUBLE * abs(r) ELSE 0.0 END)", 1, 0.2),
+    "als_flagship_checked": RECOMMENDED,
+    "als_default": RECOMMENDED,
+    "initial_y_random": f"WITH {PREFS}, i AS (SELECT DISTINCT item_id AS id FROM p UNION SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0) SELECT id, 20 AS k, 1.0::DOUBLE AS norm FROM i",
+    "rank_gate": "SELECT * FROM (VALUES ('x', true), ('y', true), ('singular', false)) t(matrix, full_rank)",
+    "kmeans_seed_rows": "SELECT i::INT AS cluster, true AS is_row FROM range(10) t(i)",
     "convergence_sample": f"WITH {EMB} SELECT y.id AS row_id, x.id AS col_id, {r6('list_inner_product(x.f, y.f)')} AS estimate FROM e x, e y WHERE x.id % 10 = 0 AND y.id % 2 = 1 AND y.id % 5 = 0",
     "convergence_value": f"""WITH c AS (SELECT item_id, user_id, iteration, max(estimate::DOUBLE) AS e FROM convergence WHERE user_id IS NOT NULL AND item_id IS NOT NULL AND isfinite(estimate) GROUP BY ALL)
  SELECT {r6('sum(greatest(a.e, 0) * abs(a.e - b.e)) / sum(greatest(a.e, 0))')} AS value FROM c a JOIN c b ON a.item_id = b.item_id AND a.user_id = b.user_id AND a.iteration = 3 AND b.iteration = 2""",

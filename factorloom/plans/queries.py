@@ -112,7 +112,7 @@ def tags_extracted(spark, sf):
 @query
 def tags_merged(spark, sf):
     p = parsed(spark, sf)
-    old, new = (events.tags(p.where(F.col("line_id") % 2 == k)).where("kind = 'item'") for k in (0, 1))
+    old, new = (events.tags(p.where(F.pmod("line_id", F.lit(2)) == k)).where("kind = 'item'") for k in (0, 1))
     return merge.merge_tags(new, old)
 
 
@@ -289,6 +289,43 @@ def als_flagship(spark, sf):
     return ranked(topn.recommend(work, model.y, 10))
 
 
+def _checked(p: DataFrame, recs: DataFrame) -> DataFrame:
+    """(id, n_recs, n_known, in_order) of each user's recommendations."""
+    known = p.select(F.col("user_id").alias("id"), F.col("item_id").alias("other_id"), F.lit(1).alias("_known")).distinct()
+    steps = recs.select("id", F.transform("recs", lambda r: r["value"]).alias("v")).select("id", (F.reverse(F.array_sort("v")) == F.col("v")).alias("in_order"))
+    flat = recs.select("id", F.posexplode("recs").alias("pos", "r")).select("id", F.col("r.id").alias("other_id")).join(known, ["id", "other_id"], "left")
+    sizes = flat.groupBy("id").agg(F.count_distinct("other_id").alias("n_recs"), F.count("_known").alias("n_known"))
+    return sizes.join(steps, "id").select("id", "n_recs", "n_known", "in_order")
+
+
+@query
+def als_flagship_checked(spark, sf):
+    """What must hold of the flagship's result whatever the random start."""
+    p, model = _fit(spark, sf)
+    return _checked(p, write_table(topn.recommend(topn.recommend_work(model.x, rows.known_items(p)), model.y, 10), "recs"))
+
+
+@query
+def als_default(spark, sf):
+    """The same with the default settings: 50 features, until the estimates settle, 30 iterations at most."""
+    p = write_table(prefs(spark, sf), "prefs")
+    model = als.fit(p, Settings())
+    return _checked(p, write_table(topn.recommend(topn.recommend_work(model.x, rows.known_items(p)), model.y, 10), "recs"))
+
+
+@query
+def als_row_solve_alpha2(spark, sf):
+    r, y = _k2(spark, sf)
+    return cells(als.half_step(r, y, Settings(**{**K2, "alpha": 2.0})), "features", "id")
+
+
+@query
+def kmeans_seed_rows(spark, sf):
+    """Every seed is a vector of the table."""
+    e = emb(spark, sf).select(F.transform("features", lambda x: x.cast("double")).alias("centroid")).distinct().withColumn("is_row", F.lit(True))
+    return cluster.seeds(emb(spark, sf), 10).join(e, "centroid", "left").select("cluster", F.coalesce("is_row", F.lit(False)).alias("is_row"))
+
+
 @query
 def rank_gate(spark, sf):
     ok = [full_rank(gramian(d(spark, sf), "features", 64)) for d in (even, odd)]
