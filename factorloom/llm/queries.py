@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import write_table
@@ -45,6 +46,11 @@ def _top(spark, sf):
     return runs.top_per_group(pairs, "user_id", "estimate", "item_id", 10)
 
 
+@query
+def p1_sizes(spark, sf):
+    return grid.describe(_clusters(spark, sf)[1]).select("side", "root_id", "size")
+
+
 @query
 def p4_found(spark, sf):
     return _top(spark, sf).select("user_id", "item_id")
@@ -100,6 +106,26 @@ def p9_shares(spark, sf):
     return _mix(spark, sf)[1]
 
 
+@query
+def p9_reached(spark, sf):
+    """Target shares, and whether each source is within one document of its own."""
+    docs = write_table(tokens.token_counts(table(spark, sf, "documents"), ["doc_id", "source"], "text"), "sizes")
+    _, shares = mixing.mix(docs, table(spark, sf, "mix_targets"))
+    largest = docs.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    total = F.sum("n_tokens").over(Window.partitionBy(F.lit(0)))  # one row a source
+    within = F.abs(F.col("n_tokens") - F.col("target_share") * total) <= 2 * F.coalesce("largest", F.lit(0)) + 1
+    return shares.join(largest, "source", "left").select("source", F.round("target_share", 6).alias("target_share"), within.alias("within"))
+
+
+@query
+def p10_parts(spark, sf):
+    """Documents of each source, found or kept: the two must make up all."""
+    docs = table(spark, sf, "documents")
+    found = write_table(residue.residue(docs), "found")
+    part = docs.select("doc_id", "source").join(found.withColumn("_found", F.lit(1)), "doc_id", "left")
+    return part.groupBy("source").agg((F.count("_found") + F.count_if(F.col("_found").isNull())).alias("n_docs"), F.count_distinct("doc_id").alias("n_ids"))
+
+
 @query
 def p10_found(spark, sf):
     return residue.residue(table(spark, sf, "documents"))
@@ -134,6 +160,10 @@ t AS (SELECT a, b, cos FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY
 FREQUENT = "SELECT item_id, count(*) AS n_rows FROM pref_deltas WHERE item_id IS NOT NULL GROUP BY item_id HAVING count(*) * 200 >= (SELECT count(item_id) FROM pref_deltas)"
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH RECURSIVE {LINKED} SELECT side, root_id, id FROM c QUALIFY count(*) OVER (PARTITION BY side, root_id) >= 5",
+    "p1_sizes": f"WITH RECURSIVE {LINKED} SELECT side, root_id, count(*) AS size FROM c GROUP BY side, root_id HAVING count(*) >= 5",
+    "p9_reached": """WITH t AS (SELECT source, target_weight, max_repeats FROM mix_targets), h AS (SELECT DISTINCT source FROM documents WHERE text IS NOT NULL AND text <> '' AND source IS NOT NULL),
+w AS (SELECT source, CASE WHEN source IN (SELECT source FROM h) AND target_weight > 0 AND max_repeats > 0 THEN target_weight ELSE 0 END AS w FROM t) SELECT source, round(w / (SELECT sum(w) FROM w), 6) AS target_share, true AS within FROM w""",
+    "p10_parts": "SELECT source, count(*) AS n_docs, count(DISTINCT doc_id) AS n_ids FROM documents GROUP BY source",
     "p6_found": f"WITH {CLOSE} SELECT t.a AS id_a, t.b AS id_b FROM t JOIN t u ON t.a = u.b AND t.b = u.a WHERE t.a < t.b AND t.cos >= 0.992",
     "p4_found": f"WITH {TOP} SELECT user_id, item_id FROM t",
     "p4_ranked": f"WITH {TOP} SELECT user_id, item_id, rank, round(estimate::DOUBLE, 4) AS estimate FROM t",
