@@ -24,10 +24,11 @@ from ..session import write_table
 from .runs import top_per_group
 
 #: Neighbours of a node on level 0 and above, candidates while building, breadth of a search, rows of a batch.
-M0, M, EF_BUILD, EF, BATCH = 24, 12, 32, 32, 1024
+M0, M, EF_BUILD, EF, BATCH = 20, 12, 32, 24, 1024
 #: Nodes that are expanded at a time.
 STEP = 4
-SHARD_ROWS = 2048
+#: Rows that a cell should have, and times as many from which it is cut: its pieces are all asked, so an uneven cell is better left whole.
+SHARD_ROWS, UNEVEN = 4096, 3
 #: Rows to which the centroids of the first level are fitted, and for each centroid of the second; rows of a task that compares with those. All rows are indexed.
 FIT_ROWS, FIT_EACH, PLACE_ROWS = 20_000, 64, 500_000
 #: Distance of unit vectors within which partners across a border are looked for (0.13: cosine 0.9915).
@@ -303,7 +304,7 @@ def neighbours(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, reach:
     copies = top_per_group(rows.join(many, "node", "left_semi").select("node", "id", F.lit(0.0).alias("s")), "node", "s", "id", k + 1).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     nodes = kinds.join(copies, "node", "left").select("node", "features", F.coalesce("ids", F.array("first")).alias("ids"))
     at = placed(nodes, total, shard_rows, reach)
-    cells = write_table(at.where("cell is not null").groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")), "parts")
+    cells = write_table(at.where("cell is not null").groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count("*") / (UNEVEN * shard_rows)).cast("int").alias("parts")), "parts")
     shards = cells.agg(F.sum("parts").alias("n"), F.count("*").alias("cells")).first()
     small = F.broadcast(cells) if shards.cells <= SMALL_CELLS else cells
     mine = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts").cast("bigint")).cast("int")
