@@ -83,3 +83,10 @@ def test_blocks_that_cannot_win_are_not_asked(spark, monkeypatch):
     got = {r.id: [x.id for x in r.recs] for r in topn.top_n(table(spark, q), table(spark, y), 3, digits=9, limit_bytes=64 * 5 * 8).collect()}
     assert got == brute(q, y, 3)
     assert len(asked) == 30 and sum(asked) < 0.5 * 30 * (400 // 32 - 2)
+
+
+def test_part_without_tags(spark):
+    y = spark.createDataFrame([(i, [1.0]) for i in range(6)], "id bigint, features array<float>")
+    tags = spark.createDataFrame([(3,)], "id bigint")
+    assert sorted(r.id for r in loading.of_partition(y, 0, 3, tags).collect()) == [0]
+    assert sorted(r.id for r in loading.of_partition(y, None, 1, tags).collect()) == [0, 1, 2, 4, 5]
