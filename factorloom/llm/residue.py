@@ -119,16 +119,24 @@ SIGNS = [
     "checking robot human bot puzzle captcha security",
     "aktivieren erlauben erlaubt aktiviert activ habilit ativ включите 启用 有効 cookies",
 ]
-SIGNS = [[y.replace("_", " ") for y in (x.split("|") if "|" in x else x.split())] for x in SIGNS]
+SIGNS = [{y.replace("_", " ") for y in (x.split("|") if "|" in x else x.split())} for x in SIGNS]
+ALL_SIGNS = sorted(set().union(*SIGNS))
 #: The same for filler, for the rests of furniture, and for hints in other languages.
 FILLER_SIGNS = "sample text|dummy|placeholder|your own|filled|a heading for|content for|coming soon|lorem ipsum|remplissage|relleno|preenchimento|blindtext|fülltext|platzhalter|текст|ここ|ダミー|此处|在此|这里|占位|aquí va|aqui vai|hier steht|votre texte|todo|tbd".split("|")
 FRAME_SIGNS = "skip to|menu|log in|login|– questions|back to|help ·|home |©|ray ".split("|")
-ELSEWHERE_SIGNS = "fehler wartung erreichbar verfügbar gesperrt anmelden abgelaufen zugriff seite website später techniker störung erreur maintenance indispon disponible accès connexion expiré tard navig serv réessayer error mantenimiento acces pagina página sesión sitio erro manuten sess tardi fout onderhoud beschikbaar toegang later dienst błąd konserwacja niedost dost strona później hata bakım erişim sayfa sonra ошибка обслуж недоступ доступ страниц сервер позже сайт войдите технически".split()
+ELSEWHERE_SIGNS = """fehler wartung erreichbar verfügbar gesperrt anmelden abgelaufen zugriff seite website später techniker störung erreur indisponible disponible accès connexion expiré plus_tard navigateur serveur réessayer
+    errore errors errori erros erro, erro. erro: mantenimiento acceso página pagina sesión navegador servidor más_tarde servicio sitio erro_ manutenção indisponível acesso sessão mais_tarde serviço manutenzione accesso servizio più_tardi
+    fout onderhoud beschikbaar toegang dienst błąd konserwacja niedostępn dostęp strona serwis później hata bakım erişim sayfa daha_sonra ошибка обслуживани недоступ доступ страниц сервер позже сайт войдите технически
+    エラー メンテナンス アクセス ページ ログイン サーバー しばらく サイト ご利用 错误 維護 维护 访问 页面 登录 服务器 稍后 网站 오류 점검 접속 페이지 로그인 서버 나중에 사이트"""
+ELSEWHERE_SIGNS = [x.replace("_", " ") for x in ELSEWHERE_SIGNS.split()]
 ECHOED = "qwert asdf dummy test bla foo xxx sample lorem text placeholder filler yxcv zxcv abc".split()
 
 
 def has_sign(low: str, signs: list[str]) -> bool:
-    return any(x in low for x in signs)
+    for x in signs:
+        if x in low:
+            return True
+    return False
 
 
 # --- filler ------------------------------------------------------------------------------------------------------------------------------------
@@ -181,6 +189,13 @@ MARKERS = frozenset("edit edited update updated solved closed duplicate note not
 SHOWN = re.compile(r"\s*(?:tags?|elements?|components?|nodes?|attributes?|placeholders?|blocks?|sections?|syntax|types?)\b", re.I)
 
 
+SPACES, WORDY, PARAGRAPH = re.compile(r"[ \t\n]+"), re.compile(r"\w"), re.compile(r"\n\s*\n")
+TITLE = re.compile(r"<title>.*?</title>", re.S | re.I)
+IN_QUOTES = re.compile(r'(?<![\w=])"[^"]{2,300}"(?!\w)')
+FRAME = re.compile(
+    r"^(?:skip to main content|[☰≡] ?menu|log ?in sign up|[\w.-]+ – questions and answers)\s+|\s+(?:back to (?:top|all \w+)|help · contact · terms|home \| questions \| tags(?: \| users)?|© \d{4}.{0,40}|ray [0-9a-f]{6,})$",
+    re.I,
+)
 WORD = re.compile(r"[^\W\d_]+")
 WRITE_HERE = re.compile(r"(?:text|content|answer|question|post)s?\b.{0,14}\bhere\b", re.S)
 #: Ten keys of the home row, which a mash of them with 3 % of others must have somewhere.
@@ -196,15 +211,15 @@ def rest(prose: str) -> str:
     """What a text says apart from the furniture of its page, in one line."""
     t = html.unescape(prose).replace("\xa0", " ")
     if "<" in t:
-        t = re.sub(r"<title>.*?</title>", " ", t, flags=re.S | re.I)
+        t = TITLE.sub(" ", t)
     t = LINK.sub(r"\1", t)
     if "<" in t:
         t = TAGS.sub("\n", t)
     t = FURNITURE.sub("", t)
-    t = re.sub(r"[ \t\n]+", " ", t).strip()
+    t = SPACES.sub(" ", t).strip()
     if not has_sign(t.lower(), FRAME_SIGNS):
         return t
-    return re.sub(r"^(?:skip to main content|[☰≡] ?menu|log ?in sign up|[\w.-]+ – questions and answers)\s+|\s+(?:back to (?:top|all \w+)|help · contact · terms|home \| questions \| tags(?: \| users)?|© \d{4}.{0,40}|ray [0-9a-f]{6,})$", "", t, flags=re.I)
+    return FRAME.sub("", t)
 
 
 def opened(m: re.Match) -> str:
@@ -222,12 +237,12 @@ def slots(prose: str) -> bool:
     """True if the prose has a slot or label key that was never filled."""
     if not MARKS.search(prose):
         return False
-    t = re.sub(r"\s+", " ", prose.replace("\xa0", " ").replace("&nbsp;", " "))
+    t = " ".join(prose.replace("&nbsp;", " ").split())
     t = SLOT_LINK.sub(opened, t)
     if not MARKS.search(t):
         return False
     t = html.unescape(t)
-    t = re.sub(r'(?<![\w=])"[^"]{2,300}"(?!\w)', " ", t)
+    t = IN_QUOTES.sub(" ", t)
     for m in SLOT.finditer(t):
         x, before, after = m.group(), t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 20]
         words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|_", " ", x.strip("<>[]{} $")).lower().split()
@@ -254,12 +269,12 @@ def filler(prose: str) -> bool:
     t = TAGS.sub("\n\n", LINK.sub(" ", t))
     bare = QUOTED.sub(" ", t)
     low = bare.lower()
-    if (has_sign(low, FILLER_SIGNS) or "here" in low and WRITE_HERE.search(low)) and (TODO.search(bare) or FILLER.search(re.sub(r"[ \t\n]+", " ", bare))):
+    if (has_sign(low, FILLER_SIGNS) or "here" in low and WRITE_HERE.search(low)) and (TODO.search(bare) or FILLER.search(SPACES.sub(" ", bare))):
         return True
     latin_words = sum(w in LATIN and w not in SHORT_LATIN for w in WORD.findall(low))
     if latin_words < 3 and not any(low.count(x) > 1 for x in ECHOED) and not HOME_RUN.search(low):
         return False
-    for p in [*re.split(r"\n\s*\n", bare), bare]:
+    for p in [*PARAGRAPH.split(bare), bare]:
         words = WORD.findall(p.lower())
         if latin_words >= 3 and len(words) >= 5:
             latin = sum(w in LATIN for w in words)
@@ -276,19 +291,20 @@ def filler(prose: str) -> bool:
 def message(r: str) -> bool:
     """True if the rest of a text is a message of a site or a notice, and nothing else worth the name."""
     low = r.lower()
-    likely = [p for p, signs in zip(STRONG, SIGNS) if has_sign(low, signs)]
+    there = {x for x in ALL_SIGNS if x in low}
+    likely = [p for p, signs in zip(STRONG, SIGNS) if not signs.isdisjoint(there)]
     if not likely:
         return False
     if r.startswith("{") and STRONG[3].search(r):
         return True
-    bare = re.sub(r"\s+", " ", TRACE.sub(" ", QUOTED.sub(" ", r))).strip()
+    bare = " ".join(TRACE.sub(" ", QUOTED.sub(" ", r)).split())
     hits = [m for p in likely if (m := p.search(bare))]
     if not hits:
         return False
     parts, at = [], 0
     for s in BREAK.split(bare):
         at = bare.index(s, at)
-        if re.search(r"\w", s):
+        if WORDY.search(s):
             parts.append((at, at + len(s), s, asks(s)))
         at += len(s)
     hits = [m for m in hits if not any(asked and a < m.end() and m.start() < z for a, z, _, asked in parts)]
@@ -320,7 +336,7 @@ def judge(text: str) -> tuple[int, str]:
 
     The second is empty for slots and filler, which need no other evidence, and for texts in which somebody asks or tells something."""
     prose = said(text)
-    if not re.search(r"\w", prose):
+    if not WORDY.search(prose):
         return 0, ""
     if slots(prose) or filler(prose):
         return 2, ""
@@ -340,14 +356,13 @@ def hints(r: str, linked: bool) -> bool:
     short = len(r) <= SHORT_CHARS
     if short and (linked or asks(r)):
         return False
-    low = r.lower()
-    known = HINT_ELSEWHERE if not low.isascii() or has_sign(low, ELSEWHERE_SIGNS) else None
+    known = HINT_ELSEWHERE if has_sign(r.lower(), ELSEWHERE_SIGNS) else None
     found = {x.lower() for x in HINT.findall(r)}
     if len(found) < 2 and (known is None or len(found | {x.lower() for x in known.findall(r)}) < 2):
         return False
     if short:
         return True
-    parts = [s for s in BREAK.split(TRACE.sub(" ", r)) if re.search(r"\w", s)]
+    parts = [s for s in BREAK.split(TRACE.sub(" ", r)) if WORDY.search(s)]
     total, about, talk = sum(map(len, parts)), 0, 0
     for s in parts:
         if asks(s):
