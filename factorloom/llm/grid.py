@@ -30,6 +30,8 @@ from .runs import top_per_group
 
 #: Quantised axes; rows of a block in which nodes are chosen; links that make a node dense; rows of a node block; single nodes and pairs of centres of a round.
 AXES, BLOCK, DENSE, PIECE, ROUND = 4, 32_768, 16, 8192, 50_000
+#: Single nodes that ask components up to which they are sent to all tasks.
+SINGLES = 50_000
 #: Members that stream past one piece of the nodes that ask them.
 STREAM = 1_000_000
 #: Dense nodes up to which their labels are sent to all tasks (16 bytes each).
@@ -391,7 +393,7 @@ def _singles(members: DataFrame, single: DataFrame, names: np.ndarray, sides: np
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(names[c]), b.column(2).take(pa.array(r))], ["node", "label", "features"])
 
     asks = write_table(single.select("node", "label", "features", "side").mapInArrow(cone, "node bigint, label bigint, features array<float>"), "cone")
-    if asks.limit(ROUND + 1).count() > ROUND:
+    if asks.limit(SINGLES + 1).count() > SINGLES:
         return _met(asks, members, least)
     part = asks.toArrow()
     label, node, v = part.column("label").to_numpy(), part.column("node").to_numpy(), _unit(matrix(part.column("features"), centres.shape[1])) if part.num_rows else np.zeros((0, centres.shape[1]))

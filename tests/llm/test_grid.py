@@ -115,7 +115,7 @@ def test_nodes_follow_the_space(spark, monkeypatch):
 
 
 def test_single_nodes_by_key(spark, monkeypatch):
-    monkeypatch.setattr(grid, "ROUND", 0)
+    monkeypatch.setattr(grid, "SINGLES", 0)
     monkeypatch.setattr(grid, "PIECE", 3)
     monkeypatch.setattr(grid, "STREAM", 20)
     rng = np.random.default_rng(7)
