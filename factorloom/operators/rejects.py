@@ -7,6 +7,7 @@ type and are mapped to the reason.
 from __future__ import annotations
 
 import csv
+import hashlib
 import re
 import sys
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ ID = re.compile(r"[+-]?[0-9]+")
 NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 BLANKS = " \t\r"
 FLOAT_MAX = 3.4028235677973366e38
+NEWLINE = "new-line character seen in unquoted field - do you need to open the file with newline=''?"  # the reader's message
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 OUT = "reason string, user_id bigint, user_tag string, item_id bigint, item_tag string, value double, is_delete boolean"
 
@@ -122,14 +124,12 @@ def read_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return lines.mapInArrow(parse, f"key {kind}, {OUT}").withColumnRenamed("key", key)
 
 
-def assemble(df: DataFrame, file: str, order: str, text: str, block: int = 4096, most: int = 10_000) -> DataFrame:
-    """(file, order, n_lines, text): physical lines joined to records, a record going on while a quote is open; order is that of its first line.
+def _lines(df: DataFrame, file: str, order: str, text: str, block: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(lines of records of at most ``most`` lines, lines of longer records): file _f, first line _r, block _b, order _o and text _t of every line; those of
+    longer records with the number _n of the record's lines and _cr, whether it has a carriage return.
 
     Whether a line begins inside quotes is the parity of the quotes before it in its file. It is counted in two levels, so that no task gets a whole
-    file: parities of blocks of ``block`` numbers first (order numbers lines), then of the lines of a block. A quote that never closes ends with its file.
-    Null lines count as empty, lines of a null file as those of one file. A record of more than ``most`` lines, which only a quote that isn't closed
-    makes, is not gathered: it comes out with its number of lines and a null text.
-    """
+    file: parities of blocks of ``block`` numbers first (order numbers lines), then of the lines of a block."""
     quotes = F.length(F.col("_t")) - F.length(F.replace(F.col("_t"), F.lit('"')))
     rows = df.select(F.struct(F.col(file).alias("v")).alias("_f"), F.col(order).cast("bigint").alias("_o"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumns({"_b": F.floor(F.col("_o") / block), "_q": quotes})
     blocks = rows.groupBy("_f", "_b").agg(F.sum("_q").alias("_n"))
@@ -141,18 +141,100 @@ def assemble(df: DataFrame, file: str, order: str, text: str, block: int = 4096,
     carried = first.select("_f", "_b", F.last("_last", True).over(before).alias("_carry"))
     here = W.partitionBy("_f", "_b").orderBy("_o").rowsBetween(W.unboundedPreceding, 0)
     named = lines.join(carried, ["_f", "_b"]).withColumn("_r", F.coalesce(F.last(F.when(~F.col("_open"), F.col("_o")), True).over(here), F.col("_carry")))
-    sizes = named.groupBy("_f", "_r").agg(F.count("*").alias("_n"))
-    long = sizes.where(F.col("_n") > most)
-    short = named.join(long.select("_f", "_r"), ["_f", "_r"], "left_anti")
-    whole = short.groupBy("_f", "_r").agg(F.count("*").alias("_n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_t"))), lambda x: x["_t"]), "\n").alias("_l"))
-    out = whole.unionByName(long.withColumn("_l", F.lit(None).cast("string")))
+    sizes = named.groupBy("_f", "_r").agg(F.count("*").alias("_n"), F.max(F.col("_t").contains("\r")).alias("_cr"))
+    long = sizes.where(F.col("_n") > max(most, 1))
+    columns = ["_f", "_r", "_b", "_o", "_t"]
+    return named.join(long.select("_f", "_r"), ["_f", "_r"], "left_anti").select(*columns), named.join(long, ["_f", "_r"]).select(*columns, "_n", "_cr")
+
+
+def _text(order: str):
+    """The texts of a group, by their order."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "_t"))), lambda x: x["_t"]), "\n")
+
+
+def _short(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("_f", "_r").agg(F.count("*").alias("_n"), _text("_o").alias("_l"))
+
+
+def assemble(df: DataFrame, file: str, order: str, text: str, block: int = 4096, most: int = 10_000) -> DataFrame:
+    """(file, order, n_lines, text): physical lines joined to records, a record going on while a quote is open; order is that of its first line.
+
+    A quote that never closes ends with its file. Null lines count as empty, lines of a null file as those of one file. Every record has its whole text; one
+    of more than ``most`` lines is joined by blocks first. As one value it is bounded by what a string may hold (2 GB): ``digests`` and ``read_records``
+    need no such value.
+    """
+    short, long = _lines(df, file, order, text, block, most)
+    pieces = long.groupBy("_f", "_r", "_n", "_b").agg(_text("_o").alias("_t"))
+    out = _short(short).unionByName(pieces.groupBy("_f", "_r", "_n").agg(_text("_b").alias("_l")))
     return out.select(F.col("_f.v").alias(file), F.col("_r").alias(order), F.col("_n").alias("n_lines"), F.col("_l").alias(text))
 
 
+def digests(df: DataFrame, file: str, order: str, text: str, block: int = 4096, most: int = 10_000) -> DataFrame:
+    """(file, order, n_lines, record): the records of ``assemble`` with the MD5 of their text. Lines of a record of more than ``most`` lines are
+    sorted and pass one after another, so that it is never held as a whole."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, md5 = None, None
+        for b in batches:
+            done = []
+            for f, r, n, t in zip(*(c.to_pylist() for c in b.columns[:4])):
+                if (f, r, n) != key:
+                    done += [(*key, md5.hexdigest())] if key else []
+                    key, md5 = (f, r, n), hashlib.md5()
+                else:
+                    md5.update(b"\n")
+                md5.update(t.encode())
+            types = [*b.schema.types[:3], pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done)) or [()] * 4, types)], names)
+        if key:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*key, md5.hexdigest()), types)], names)
+
+    names = ["_f", "_r", "_n", "_l"]
+    short, long = _lines(df, file, order, text, block, most)
+    kind = df.schema[file].dataType.simpleString()
+    passed = long.select("_f", "_r", "_n", "_t", "_o").repartition("_f", "_r").sortWithinPartitions("_f", "_r", "_o").mapInArrow(digest, f"_f struct<v:{kind}>, _r bigint, _n bigint, _l string")
+    out = _short(short).withColumn("_l", F.md5(F.col("_l").cast("binary"))).unionByName(passed)
+    return out.select(F.col("_f.v").alias(file), F.col("_r").alias(order), F.col("_n").alias("n_lines"), F.col("_l").alias("record"))
+
+
+def line_part(line: str, first: bool, single: bool) -> tuple[int, bool, str | None]:
+    """(fields, whether the record ends here, the reader's message) of one line of a record: of the first line, or of one that begins inside quotes.
+
+    A quote is put before the latter. One more after the line is read only where the line leaves its quotes open; the field that goes on in the next line
+    is counted. ``single``: the reader is given the record in one, not by its line ends."""
+    if not first:
+        if '"' not in line:
+            return 1, False, None
+        line = '"' + line
+    given = [line] if single else line.splitlines(keepends=True)
+    reader = csv.reader([*given, '"'], strict=True)
+    try:
+        fields = len(next(reader))
+    except csv.Error as e:
+        return 0, False, str(e)
+    return fields, reader.line_num <= len(given), None
+
+
+def _fold(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The parts (_k fields, _e ended, _x error, _w may follow an end) of a group, by their order, taken together as one part.
+
+    A field open at the end of a part is the first of the next, and counts once. What follows an end or an error isn't read, but what may not follow an end is an error."""
+
+    def add(a, x):
+        stopped = a["_e"] | a["_x"].isNotNull()
+        error = F.when(a["_x"].isNotNull(), a["_x"]).when(a["_e"], F.when(~x["_w"], F.lit(NEWLINE))).otherwise(x["_x"])
+        return F.struct(F.when(stopped, a["_k"]).otherwise(a["_k"] + x["_k"] - 1).alias("_k"), F.when(stopped, a["_e"]).otherwise(x["_e"]).alias("_e"), error.alias("_x"), (a["_w"] & x["_w"]).alias("_w"))
+
+    none = F.struct(F.lit(1).cast("bigint").alias("_k"), F.lit(False).alias("_e"), F.lit(None).cast("string").alias("_x"), F.lit(True).alias("_w"))
+    parts = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "_k", "_e", "_x", "_w"))).alias("_p"))
+    return parts.select(*keys, F.aggregate("_p", none, add).alias("_p")).select(*keys, "_p.*")
+
+
 def read_records(df: DataFrame, file: str, order: str, text: str, most: int = 10_000) -> DataFrame:
     """(file, order, n_lines, n_fields, error): every record of files whose quotes may span lines, by the strict csv reader; n_fields is null and error the reader's message where it fails.
 
-    Empty records (blank lines) are left out. A record of more than ``most`` lines has the error ``unexpected end of data``, as an open quote has."""
+    Empty records (blank lines) are left out. A record of more than ``most`` lines is not gathered: the reader takes its lines one by one, as each but the first
+    begins inside quotes as long as the record lasts, and what it gives is added up by blocks, then by records. The result is that of the whole text."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
@@ -160,15 +242,27 @@ def read_records(df: DataFrame, file: str, order: str, text: str, most: int = 10
             counts, errors = [], []
             for t in b.column(3).to_pylist():
                 try:
-                    if t is None:
-                        raise csv.Error("unexpected end of data")
                     counts.append(len(next(csv.reader(t.splitlines(keepends=True) if "\r" not in t else [t], strict=True))))
                     errors.append(None)
                 except csv.Error as e:
                     counts.append(None)
                     errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(counts, pa.int32()), pa.array(errors, pa.string())], [*b.schema.names[:3], "n_fields", "error"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(counts, pa.int32()), pa.array(errors, pa.string())], [*b.schema.names[:3], "_k", "_x"])
 
-    records = assemble(df, file, order, text, most=most).where(F.col(text).isNull() | (F.col(text) != ""))
-    kind = df.schema[file].dataType.simpleString()
-    return records.mapInArrow(parse, f"`{file}` {kind}, `{order}` bigint, n_lines bigint, n_fields int, error string")
+    def parse_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        for b in batches:
+            _, record, _, _, number, texts, single = (c.to_pylist() for c in b.columns)
+            parts = [(*line_part(t, o == r, cr), not cr or not t.strip("\r\n")) for r, o, t, cr in zip(record, number, texts, single)]
+            columns = list(zip(*parts)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.bool_(), pa.string(), pa.bool_()]))], [*b.schema.names[:5], "_k", "_e", "_x", "_w"])
+
+    short, long = _lines(df, file, order, text, 4096, most)
+    kind = f"_f struct<v:{df.schema[file].dataType.simpleString()}>, _r bigint, _n bigint"
+    gathered = _short(short).where("_l != ''").mapInArrow(parse, f"{kind}, _k int, _x string")
+    told = long.where(F.col("_t").contains('"') | F.col("_cr"))  # any other line leaves its quotes open and may follow an end; first lines have a quote
+    parts = told.select("_f", "_r", "_n", "_b", "_o", "_t", "_cr").mapInArrow(parse_lines, f"{kind}, _b bigint, _o bigint, _k bigint, _e boolean, _x string, _w boolean")
+    passed = _fold(_fold(parts, ["_f", "_r", "_n", "_b"], "_o"), ["_f", "_r", "_n"], "_b")
+    passed = passed.withColumn("_x", F.when(F.col("_x").isNull() & ~F.col("_e"), "unexpected end of data").otherwise(F.col("_x")))
+    passed = passed.withColumn("_k", F.when(F.col("_x").isNull(), F.col("_k")).cast("int")).select("_f", "_r", "_n", "_k", "_x")
+    return gathered.unionByName(passed).select(F.col("_f.v").alias(file), F.col("_r").alias(order), F.col("_n").alias("n_lines"), F.col("_k").alias("n_fields"), F.col("_x").alias("error"))

@@ -1,3 +1,7 @@
+import csv
+import hashlib
+import random
+
 import pytest
 
 from factorloom.operators import rejects
@@ -73,3 +77,33 @@ def test_records_by_the_strict_reader(spark):
     got = [(r.n, r.n_lines, r.error) for r in rejects.read_records(long, "file", "n", "text", most=20).where("error is not null").collect()]
     assert got == [(3, 47, "unexpected end of data")]
     assert rejects.read_records(df.limit(0), "file", "n", "text").count() == 0
+
+
+def read(text):
+    try:
+        return len(next(csv.reader(text.splitlines(keepends=True) if "\r" not in text else [text], strict=True))), None
+    except csv.Error as e:
+        return None, str(e)
+
+
+def test_records_of_any_length_are_whole(spark):
+    files = {"closed": ['1,"x', *["y"] * 10_000, 'z",2'], "open": ["a,b", '"', *["y"] * 10_500]}
+    df = spark.createDataFrame([(f, i, t) for f, ls in files.items() for i, t in enumerate(ls)], "file string, n bigint, text string")
+    want = {(f, n): t for f, ls in files.items() for n, t in joined(ls)}
+    assert {(r.file, r.n): r.text for r in rejects.assemble(df, "file", "n", "text").collect()} == want
+    assert {(r.file, r.n): (r.n_lines, r.record) for r in rejects.digests(df, "file", "n", "text").collect()} == {k: (t.count("\n") + 1, hashlib.md5(t.encode()).hexdigest()) for k, t in want.items()}
+    got = {(r.file, r.n): (r.n_fields, r.error) for r in rejects.read_records(df, "file", "n", "text").collect()}
+    assert got == {("closed", 0): (3, None), ("open", 0): (2, None), ("open", 1): (None, "unexpected end of data")}
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_long_records_are_read_as_whole_texts(spark, most):
+    rng = random.Random(7)
+    files = {f: ["".join(rng.choices(['"', ",", "a", "é", "\r", "\x0b", "\u2028"], [4, 3, 3, 1, f % 2 / 2, 0.2, 0.2], k=rng.randrange(6))) or None for _ in range(rng.randrange(12))] for f in range(800)}
+    df = spark.createDataFrame([(f, i * 1500, t) for f, ls in files.items() for i, t in enumerate(ls)], "file int, n bigint, text string")  # three lines a block
+    want = {(f, n * 1500): t for f, ls in files.items() for n, t in joined(ls)}
+    assert {(r.file, r.n): r.text for r in rejects.assemble(df, "file", "n", "text", most=most).collect()} == want
+    assert {(r.file, r.n): r.record for r in rejects.digests(df, "file", "n", "text", most=most).collect()} == {k: hashlib.md5(t.encode()).hexdigest() for k, t in want.items()}
+    got = {(r.file, r.n): (r.n_fields, r.error) for r in rejects.read_records(df, "file", "n", "text", most=most).collect()}
+    assert got == {k: read(t) for k, t in want.items() if t}
+    assert len({e for _, e in got.values()}) == 4
