@@ -78,3 +78,40 @@ def test_stop_rule():
     assert not als.stop(1, 0.0, s) and als.stop(2, 0.0005, s) and not als.stop(2, 0.01, s) and als.stop(2, float("nan"), s) and als.stop(30, 1.0, s)
     many = Settings(max_iterations=0)
     assert not als.stop(1, 0.0, many) and not als.stop(500, 0.1, many) and als.stop(2, 0.0005, many) and als.stop(1, 1.0, Settings(max_iterations=1))
+
+
+@pytest.mark.parametrize("fragment", [4096, 2])
+def test_factors_sent_or_joined(spark, fragment):
+    """Blocks are packed once; both ways to their factors give what numpy gives."""
+    data, rng = ratings(spark), np.random.default_rng(5)
+    y = {i - 4: rng.normal(size=4).astype(np.float32) for i in range(9)}
+    prefs = spark.createDataFrame(data, "user_id bigint, item_id bigint, value double")
+    factors = spark.createDataFrame([(i, v.tolist()) for i, v in y.items()], "id bigint, features array<float>")
+    packed = als.pack(als.ratings_by(prefs, "user_id", "item_id", fragment, 20))
+    assert packed.select("block").distinct().count() == packed.count() > 1
+    want = solve(data, {i: v.astype(float) for i, v in y.items()}, 4, 1.5, 0.2)
+    for limit in (0, 1 << 20):
+        got = {r.id: r.features for r in als.half_step(packed, factors, Settings(features=4, alpha=1.5, lam=0.2), limit_bytes=limit).collect()}
+        assert set(got) == set(want)
+        for u in want:
+            np.testing.assert_allclose(got[u], want[u], rtol=1e-9)
+
+
+def test_many_rows_of_one_entry_are_taken_in_parts():
+    y, k, n = np.random.default_rng(1).normal(size=(7, 50)), 50, 20_000
+    at = np.arange(n) % 7
+    parts = list(als._sums(y, at, np.ones(n), np.ones(n), np.arange(n)))
+    assert max(w.size for _, w, _ in parts) <= als.CHUNK and sorted(np.concatenate([r for r, _, _ in parts])) == list(range(n))
+    for rows, w, rhs in parts:
+        np.testing.assert_allclose(w[-1], np.outer(y[at[rows[-1]]], y[at[rows[-1]]]))
+        np.testing.assert_allclose(rhs, y[at[rows]])
+
+
+@pytest.mark.parametrize("chunk", [1 << 22, 8])
+def test_change_from_vectors(spark, monkeypatch, chunk):
+    rng = np.random.default_rng(4)
+    tables = [spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(40)], "id bigint, features array<double>") for _ in range(4)]
+    (x, y), (x0, y0) = tables[:2], tables[2:]
+    want = als.convergence_value(als.convergence_sample(x, y, 3), als.convergence_sample(x0, y0, 3)).first().value
+    monkeypatch.setattr(als, "CHUNK", chunk)  # few products at a time: they are added up by tasks
+    assert als._change(spark, als._sample(als.sampled(x, y, 3)), als._sample(als.sampled(x0, y0, 3))) == pytest.approx(want)

@@ -90,3 +90,31 @@ def test_part_without_tags(spark):
     tags = spark.createDataFrame([(3,)], "id bigint")
     assert sorted(r.id for r in loading.of_partition(y, 0, 3, tags).collect()) == [0]
     assert sorted(r.id for r in loading.of_partition(y, None, 1, tags).collect()) == [0, 1, 2, 4, 5]
+
+
+def test_tiles_that_cannot_win_are_not_scored(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    y, q = rng.normal(size=(60_000, 6)).astype(np.float32), rng.normal(size=(40, 6))
+    y[5], y[6, 0], q[3] = 0, np.nan, 0
+    ids = rng.permutation(60_000) * 3 - 7
+    known = [rng.choice(ids, 30).tolist() + [-1] if i % 4 else None for i in range(40)]
+    monkeypatch.setattr(topn, "TILE", 256)
+    s = topn.Searched(ids, y, False)
+    asked = []
+
+    class Spied(np.ndarray):
+        def __getitem__(self, at):
+            asked.append(at.stop - at.start)
+            return np.asarray(self)[at]
+
+    s.m = s.m.view(Spied)
+    monkeypatch.setattr(topn, "GROUP", 8)
+    rows, found, values = topn._kernel(5, False, False, None, True)(np.arange(40), q, pa.array(known, pa.list_(pa.int64())), s)
+    for i in range(40):
+        score = y.astype(float) @ q[i]
+        score[~np.isfinite(score) | np.isin(ids, known[i] or [])] = -np.inf
+        best = np.lexsort((ids, -score))[:5]
+        assert found[rows == i].tolist() == ids[best].tolist() and values[rows == i] == pytest.approx(score[best], abs=1e-12)
+    assert sum(asked) < 60_000 * len(topn._tiles(q, 8)[1]) / 2
